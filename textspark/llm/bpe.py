@@ -187,7 +187,7 @@ class Vocabulary:
                 out.append(" " + p)
             else:
                 out[-1] += " " + p
-        return out
+        return out if out[0] else out[1:]
 
     def pretokens(self, chunk: str) -> list[bytes]:
         """The pattern's words of a chunk; letters alone, or before one ASCII mark, need no search."""
