@@ -5,19 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textspark.llm import bpe, mixing, topk
 from textspark.llm.common import table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textspark.llm import bpe
-
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.SQL, "op9_topk": topk.SQL}
