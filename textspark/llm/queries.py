@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textspark.llm import bpe, mixing, topk, urls
+from textspark.llm import bpe, fingerprints, mixing, topk, urls
 from textspark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -28,7 +32,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op5_urls": op5_urls, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
+    return {"op1_bpe": op1_bpe, "op4_fingerprints": op4_fingerprints, "op5_urls": op5_urls, "op7_mixing": op7_mixing, "op9_topk": op9_topk}
 
 
 def oracle_sql() -> dict[str, str]:
