@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textspark.llm import bpe, fingerprints, mixing, quality, topk, toxicity, urls
+from textspark.llm import bpe, fingerprints, mixing, quality, secrets, topk, toxicity, urls
 from textspark.llm.common import fold, table
 
 
@@ -30,6 +30,11 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return secrets.digests(documents, secrets.train(documents))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = (op1_bpe, op3_toxicity, op4_fingerprints, op5_urls, op7_mixing, op8_quality, op9_topk)
+QUERIES = (op1_bpe, op3_toxicity, op4_fingerprints, op5_urls, op6_secrets, op7_mixing, op8_quality, op9_topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
