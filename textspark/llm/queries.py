@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textspark.llm import bpe, fingerprints, mixing, quality, secrets, topk, toxicity, urls
+from textspark.llm import bpe, fingerprints, licenses, mixing, quality, secrets, topk, toxicity, urls
 from textspark.llm.common import fold, table
 
 
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     net = toxicity.train(documents, labels, fold("doc_id", 5) != 0)
@@ -50,7 +54,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = (op1_bpe, op3_toxicity, op4_fingerprints, op5_urls, op6_secrets, op7_mixing, op8_quality, op9_topk)
+QUERIES = (op1_bpe, op2_licenses, op3_toxicity, op4_fingerprints, op5_urls, op6_secrets, op7_mixing, op8_quality, op9_topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
