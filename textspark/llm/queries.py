@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textspark.llm import bpe, fingerprints, licenses, mixing, quality, secrets, topk, toxicity, urls
+from textspark.llm import bpe, fingerprints, licenses, mixing, neardup, quality, secrets, topk, toxicity, urls
 from textspark.llm.common import fold, table
 
 
@@ -54,7 +54,11 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = (op1_bpe, op2_licenses, op3_toxicity, op4_fingerprints, op5_urls, op6_secrets, op7_mixing, op8_quality, op9_topk)
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+QUERIES = (op1_bpe, op2_licenses, op3_toxicity, op4_fingerprints, op5_urls, op6_secrets, op7_mixing, op8_quality, op9_topk, op10_neardup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
