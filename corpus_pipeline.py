@@ -1,8 +1,72 @@
-"""The training-data pipeline: ordered stages over the documents table."""
+"""The training-data pipeline: ordered stages over the documents table.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and
+read again as the next stage's ``docs``.  All but the last return the columns of
+documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textspark.llm import bpe, mixing, neardup, quality, secrets
+from textspark.llm.common import ensure_checkpoint_dir, fold, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; the others go."""
+    fitted = quality.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return quality.score(docs, fitted and fitted[0], out="_score").where("_score >= 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    kept = neardup.components(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    unique = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # rows without an id take no part and stay
+    return unique.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mark; no document goes."""
+    clean = secrets.redact(docs, secrets.train(docs))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes in full, at most two."""
+    mixed = mixing.mix(docs).where("taken > 0 AND doc_id IS NOT NULL")
+    copies = mixed.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("_copies")).where("_copies > 0")
+    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, token_ids (packed), round_trip: whether decoding gives the text again."""
+    done = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text")))
+    return done.select("doc_id", "source", bpe.n_tokens().alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("secret scan", redact_secrets),
+    ("source mixing", mix_sources),
+    ("BPE encoding", encode_tokens),
+]
+
+#: Trained models and hashing have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared checkpoint folder and read again."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
