@@ -51,6 +51,8 @@ SHINGLE, PERCENT = 5, 80
 HASHES, TREES, NODE, DEPTH = 64, 16, 160, 7
 CUT = 0.6
 BLOCK, ANCHORS = 400, 16
+#: Largest bitmap of member ids (128 MB); edges that one task may join by itself (16 MB).
+BITS, LOCAL = 1 << 30, 1_000_000
 WORDS = 400_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -321,12 +323,28 @@ def _confirmed(placed: DataFrame, k: int, percent: int, cross: bool) -> DataFram
     return placed.select(*columns).repartition("family", "block").sortWithinPartitions("family", "block", "role", "rep").mapInArrow(run, "a bigint, b bigint")
 
 
+def _members_only(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose rep may be a member: a bitmap of hashed ids, at most ``BITS`` bits.
+
+    It only saves shuffling: ids that share a bit pass too, and a full bitmap lets all
+    rows pass.  The bitmap is a table of pieces of 4 KB, so what is broadcast is at most
+    ``BITS`` / 8 bytes.
+    """
+    bits = 1 << min(BITS.bit_length() - 1, max(20, (32 * members.count()).bit_length()))
+    place = F.pmod(F.xxhash64("rep"), F.lit(bits))
+    pieces = F.broadcast(members.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap")))
+    marked = texts.withColumn("_p", place).withColumn("piece", F.bitmap_bucket_number("_p")).join(pieces, "piece")
+    at = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return marked.where(F.call_function("getbit", byte, (at % 8).cast("int")) == 1).select(*texts.columns)
+
+
 def links(documents: DataFrame, members: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
     """Confirmed links that join all linked members of the families."""
     sizes = members.groupBy("family").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = cut(members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
     large = placed.where("blocks > 1")
-    texts = documents.select(F.col(id).alias("rep"), F.col(text).alias("text"))
+    texts = _members_only(documents.select(F.col(id).cast("long").alias("rep"), F.col(text).alias("text")), members)
     rows = placed.select("family", "block", "rep", F.lit(0).alias("role"), F.lit(0).cast("long").alias("part"))
     has_large = bool(large.limit(1).count())
     if has_large:
