@@ -150,6 +150,35 @@ def signed(documents: DataFrame, id: str, text: str, k: int) -> DataFrame:
     return map_batches(documents.select(F.col(id).alias("doc_id"), F.col(text).alias("_t")), make, fields, keep=["doc_id"])
 
 
+def joined(edges: DataFrame) -> DataFrame:
+    """node, component of edges (a, b).
+
+    Up to ``LOCAL`` edges, a bound on a task's memory, are joined by one task; more go
+    through the distributed rounds.  Both ways give the same rows.
+    """
+    edges = cut(edges.select("a", "b"))
+    if edges.count() > LOCAL:
+        return connected_components(edges, "a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = top(a), top(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield _batch(["node", "component"], pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64()))
+
+    return edges.coalesce(1).mapInArrow(run, "node bigint, component bigint")
+
+
 def _first_paths(classes: DataFrame, share: float) -> DataFrame:
     """(node, rep): paths of length two in every tree."""
 
@@ -355,7 +384,7 @@ def links(documents: DataFrame, members: DataFrame, id: str, text: str, k: int,
     first = cut(_confirmed(rows.join(texts, "rep"), k, percent, cross=False))
     if not has_large:
         return first
-    parts = connected_components(first, "a", "b")
+    parts = joined(first)
     known = large.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     known = cut(known)
     main = known.groupBy("family", "part").agg(F.count("*").alias("m")).groupBy("family").agg(F.max_by("part", F.struct("m", "part")).alias("main"))
@@ -373,7 +402,7 @@ def components(documents: DataFrame, id: str = "doc_id", text: str = "text", shi
     rows = cut(signed(documents, id, text, shingle))
     classes = cut(rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("signature").alias("signature")))
     members = families(classes, share)
-    found = connected_components(links(documents, members, id, text, shingle, percent), "a", "b")
+    found = joined(links(documents, members, id, text, shingle, percent))
     named = classes.select("key", "rep").join(found.select(F.col("node").alias("rep"), "component").distinct(), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     component = F.coalesce("component_id", F.col("doc_id").cast("long"))
