@@ -9,8 +9,8 @@ threshold; a component is what links reach.  Steps:
 2. Chosen paths: in each of ``TREES`` independent trees, a class extends a path by
    those of its minwise tokens that a hash of (path, token) selects, 1 / threshold of
    them on average.  Classes that share a path are a node.  Nodes of up to ``NODE``
-   classes compare all their signatures; larger ones extend their paths further, until
-   ``DEPTH``, beyond which all classes of a node count as alike.  A pair at the
+   classes compare all their signatures; larger ones go by pivots or extend their paths
+   further (see ``families``), until ``DEPTH``, where a node counts as alike.  A pair at the
    threshold shares a path of length two in a tree with probability .47, so 16 trees
    miss it once in 20,000 times.
 3. Pairs whose signatures agree well (``CUT``) join classes to *families* by connected
@@ -259,25 +259,87 @@ def _alike(rows: DataFrame) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "short").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _near_pivot(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) from classes to the pivot of their node, where the signatures agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: set[tuple[int, int]] = set()
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("short", "pivot_short"))
+                near = np.flatnonzero((one == two).mean(axis=1) >= CUT)
+                edges.update(zip(batch.column("rep").to_numpy()[near].tolist(), batch.column("pivot").to_numpy()[near].tolist()))
+        edges = {(a, b) for a, b in edges if a != b}
+        if edges:
+            yield _batch(["a", "b"], *map(list, zip(*edges)))
+
+    return rows.select("rep", "pivot", "short", "pivot_short").mapInArrow(run, "a bigint, b bigint")
+
+
+def _near_rest(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) of role 1 with role 0 in (node, block), where the signatures agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: set[tuple[int, int]] = set()
+        for group in groups(batches, 2):
+            reps, roles, parts = (group.column(c).to_numpy() for c in ("rep", "role", "part"))
+            sig = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(len(reps), HASHES)
+            own = np.flatnonzero(roles == 0)
+            for at in np.flatnonzero(roles == 1):
+                near = own[((sig[own] == sig[at]).mean(axis=1) >= CUT) & (parts[own] != parts[at])]
+                _, first = np.unique(parts[near], return_index=True)  # one edge to each other part
+                edges.update((int(reps[at]), int(reps[j])) for j in near[first])
+        if edges:
+            yield _batch(["a", "b"], *map(list, zip(*edges)))
+
+    return rows.select("node", "block", "rep", "role", "part", "short").repartition("node", "block").sortWithinPartitions("node", "block", "role").mapInArrow(run, "a bigint, b bigint")
+
+
 def families(classes: DataFrame, share: float) -> DataFrame:
-    """(rep, family): classes that may be linked are in one family; others are left out."""
+    """(rep, family): classes that may be linked are in one family; others are left out.
+
+    A large node first compares all its classes with one pivot, which differs from node
+    to node; classes that are near the same pivots are one part then.  A large node that
+    lies in one part is done.  If one part holds most of it, the rest is compared with all
+    of the node, in blocks; else its paths are extended.
+    """
     edges = None
     paths = _first_paths(classes, share)
     shorts = map_batches(classes.select("rep", "signature"), lambda: lambda batch: [[s.astype(np.uint8).tobytes() for s in _sigs(batch.column(batch.schema.get_field_index("signature")))]], [T.StructField("short", T.BinaryType())], keep=["rep"])
     for depth in range(2, DEPTH + 1):
-        sizes = paths.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
-        shared = cut(paths.join(sizes, "node"))
-        near = _alike(shared.where(F.col("n") <= NODE).join(shorts, "rep"))
+        pick = F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "rep"))["rep"]
+        sizes = paths.groupBy("node").agg(F.count("*").alias("n"), pick.alias("pivot")).where("n > 1")
+        shared = cut(paths.join(sizes, "node").join(shorts, "rep"))
+        near = _alike(shared.where(F.col("n") <= NODE))
         large = shared.where(F.col("n") > NODE)
+        pivots = large.where("rep = pivot").select("node", F.col("short").alias("pivot_short"))
+        more = depth < DEPTH and bool(large.limit(1).count())
         if depth == DEPTH:
-            near = near.unionByName(large.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
+            near = near.unionByName(large.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        elif more:
+            near = near.unionByName(_near_pivot(large.join(pivots, "node")))
         near = cut(near)
         edges = near if edges is None else edges.unionByName(near)
-        if depth == DEPTH or not large.limit(1).count():
+        found = cut(joined(edges))
+        if not more:
+            break
+        parts = found.select(F.col("node").alias("rep"), "component")
+        known = cut(large.join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component", "pivot"))
+        held = known.groupBy("node", "part").agg(F.count("*").alias("m"))
+        held = held.groupBy("node").agg(F.count("*").alias("k"), F.max(F.struct("m", "part")).alias("top")).where("k > 1").select("node", "top.m", F.col("top.part").alias("main"))
+        mixed = cut(known.join(held, "node").withColumn("blocks", F.ceil(F.col("n") / NODE).cast("int")))
+        if not mixed.limit(1).count():
+            break
+        most = mixed.where("2 * m >= n")
+        own = most.withColumns({"block": F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"), "role": F.lit(0)})
+        rest = most.where("part <> main").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "role": F.lit(1)})
+        edges = edges.unionByName(cut(_near_rest(own.unionByName(rest.select(*own.columns)))))
+        deeper = mixed.where("2 * m < n").select("node", "rep")
+        if not deeper.limit(1).count():
+            found = cut(joined(edges))
             break
-        paths = _longer_paths(large.select("node", "rep"), classes, share)
-    found = connected_components(edges, "a", "b")
-    return cut(found.select(F.col("node").alias("rep"), F.col("component").alias("family")).distinct())
+        paths = _longer_paths(deeper, classes, share)
+    return found.select(F.col("node").alias("rep"), F.col("component").alias("family"))
 
 
 class Block:
