@@ -38,8 +38,8 @@ from pyspark.sql import types as T
 
 from textspark.llm.common import map_batches
 
-#: Entries of a task's word dictionary; it is emptied when it is full.
-CACHE = 400_000
+#: Entries of each dictionary that a worker keeps; one is emptied when it is full.
+CACHE = 120_000
 #: Characters that are handled together.
 SLICE = 4_000_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -202,9 +202,9 @@ class Vocabulary:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         docs: list[list[str | int]] = []
         chunks = self.chunks
-        if len(chunks) > CACHE or len(self.words) > CACHE:
-            chunks.clear()
-            self.words.clear()
+        for held in (chunks, self.words, self.apart):
+            if len(held) > CACHE:
+                held.clear()
         for text in texts:
             doc: list[str | int] = []
             parts = self.at_special.split(text) if self.at_special and any(s in text for s in self.special) else [text]
@@ -273,6 +273,23 @@ def decode(df: DataFrame, ids: str = "token_ids", path: str | None = None, out:
     return map_batches(df, make, [T.StructField(out, T.StringType())])
 
 
+def round_trip(df: DataFrame, text: str = "text", path: str | None = None, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so a task needs one worker and one vocabulary."""
+    path = path or default_path()
+
+    def make():
+        known = vocabulary(path)
+
+        def run(batch: pa.RecordBatch) -> list:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            packed = [x for part in slices(texts) for x in known.encode(part)]
+            return [packed, [known.decode(x) for x in packed]]
+
+        return run
+
+    return map_batches(df, make, [T.StructField(ids, T.BinaryType()), T.StructField(out, T.StringType())])
+
+
 def n_tokens(ids: str = "token_ids") -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
@@ -285,5 +302,5 @@ def unpack(ids: str = "token_ids") -> Column:
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens, and digests of the ids and of the decoded text."""
-    done = decode(encode(df.select("doc_id", "text"), path=path).drop("text"), path=path)
+    done = round_trip(df.select("doc_id", "text"), path=path)
     return done.select("doc_id", n_tokens().alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

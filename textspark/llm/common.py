@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch; texts are wide, and a worker holds a few copies of its batch.
+BATCH_ROWS = 2000
+
+
+def release() -> None:
+    """Give memory that is free again back to the system; workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of Arrow batches, unless the session already asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """Append columns computed from Arrow batches.
 
@@ -51,6 +71,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
     kept = [f for f in df.schema.fields if f.name.lower() not in new and (keep is None or f.name in keep)]
     schema = T.StructType([*kept, *fields])
     names = [f.name for f in kept]
+    small_batches(df.sparkSession)
     types = [f.type for f in to_arrow_schema(T.StructType(fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,6 +82,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
             function = function or make()
             columns = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(function(batch), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *columns], names=[*names, *(f.name for f in fields)])
+        function = None
+        release()
 
     return df.mapInArrow(run, schema)
 

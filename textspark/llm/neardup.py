@@ -53,7 +53,7 @@ CUT = 0.6
 BLOCK, ANCHORS = 400, 16
 #: Largest bitmap of member ids (128 MB); edges that one task may join by itself (16 MB).
 BITS, LOCAL = 1 << 30, 1_000_000
-WORDS = 400_000
+WORDS = 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
