@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from textspark.queries import conversations, features, languages, locales, pieces, selections, spans, times, tokens, values
 
-MODULES = ("spans", "tokens", "values", "times", "features", "languages", "conversations", "pieces")
-
-
-def _each(name: str) -> dict:
-    found: dict = {}
-    for m in MODULES:
-        try:
-            module = import_module(f"textspark.queries.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"textspark.queries.{m}":
-                raise
-            continue
-        found |= getattr(module, name)
-    return found
+MODULES = (spans, tokens, values, times, locales, features, languages, conversations, pieces, selections)
 
 
 def queries() -> dict:
-    return _each("QUERIES")
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return _each("SQL")
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
