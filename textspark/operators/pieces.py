@@ -38,8 +38,7 @@ class Pieces:
                 if piece in self.scores and (best[j] is None or here + self.scores[piece] > best[j][0]):
                     best[j] = (here + self.scores[piece], i, self.ids[piece])
             if self.unknown is not None:
-                same = best[i][2] == self.unknown
-                score = here + (0.0 if same else self.unknown_score)
+                score = here + self.unknown_score
                 if best[i + 1] is None or score > best[i + 1][0]:
                     best[i + 1] = (score, i, self.unknown)
         if best[n] is None:
