@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from textspark.llm.common import map_batches
 
 #: Entries of each dictionary that a worker keeps; one is emptied when it is full.
-CACHE = 120_000
+CACHE = 400_000
 #: Characters that are handled together.
 SLICE = 4_000_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
