@@ -350,6 +350,26 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
         assert (x["component_id"], x["n_shingles"], x["kept"]) == (want[x["doc_id"]], sizes[x["doc_id"]], want[x["doc_id"]] == x["doc_id"])
 
 
+def test_near_duplicates_survive_the_deepest_extension():
+    """Pairs at the threshold must share a path of length DEPTH in a tree, as if every node were extended, and pass CUT."""
+    r = np.random.default_rng(3)
+    one = r.integers(0, 1 << 32, (3000, neardup.HASHES), dtype=np.uint32)
+    other = np.where(r.random(one.shape) < 0.8, one, r.integers(0, 1 << 32, one.shape, dtype=np.uint32))
+    lost = np.arange(len(one))
+    for tree in range(getattr(neardup, "DEEP_TREES", neardup.TREES)):
+        root = np.full(len(lost), neardup._blend(np.array([tree + 1], np.uint64))[0])
+        (at, paths), (to, others) = (np.arange(len(lost)), root), (np.arange(len(lost)), root)
+        for _ in range(neardup.DEPTH):
+            rows, paths = neardup.extend(paths, one[lost[at]], 1.25)
+            at = at[rows]
+            rows, others = neardup.extend(others, other[lost[to]], 1.25)
+            to = to[rows]
+        both = {*zip(at.tolist(), paths.tolist())} & {*zip(to.tolist(), others.tolist())}
+        lost = np.delete(lost, sorted({x for x, _ in both}))
+    near = (one == other).mean(axis=1) >= neardup.CUT
+    assert not len(lost) and near.all()
+
+
 def test_near_duplicates_of_edge_rows(docs, none):
     got = neardup.components(docs).collect()
     assert len(got) == len(EDGE)

@@ -10,9 +10,10 @@ threshold; a component is what links reach.  Steps:
    those of its minwise tokens that a hash of (path, token) selects, 1 / threshold of
    them on average.  Classes that share a path are a node.  Nodes of up to ``NODE``
    classes compare all their signatures; larger ones go by pivots or extend their paths
-   further (see ``families``), until ``DEPTH``, where a node counts as alike.  A pair at the
-   threshold shares a path of length two in a tree with probability .47, so 16 trees
-   miss it once in 20,000 times.
+   further (see ``families``), until ``DEPTH``, where a node counts as alike.  Classes whose
+   paths are extended get ``DEEP_TREES`` trees.  By calculation for Jaccard .80, with the
+   spread of the signatures' agreement and ``CUT`` counted, a pair is missed 2.3 times in
+   100,000 at length two and at most 3.5 times if all its nodes are extended to ``DEPTH``.
 3. Pairs whose signatures agree well (``CUT``) join classes to *families* by connected
    components.  A family holds every link of its members; it may hold more.
 4. Links are confirmed on full sets inside families, in blocks of about ``BLOCK``
@@ -48,8 +49,10 @@ from textspark.llm.common import cut, map_batches
 from textspark.llm.graph import connected_components
 
 SHINGLE, PERCENT = 5, 80
-HASHES, TREES, NODE, DEPTH = 64, 16, 160, 7
-CUT = 0.6
+HASHES, TREES, NODE, DEPTH = 64, 18, 160, 7
+#: Trees of the classes in nodes whose paths are extended beyond length two.
+DEEP_TREES = 80
+CUT = 0.55
 BLOCK, ANCHORS = 400, 16
 #: Largest bitmap of member ids (128 MB); edges that one task may join by itself (16 MB).
 BITS, LOCAL = 1 << 30, 1_000_000
@@ -179,15 +182,15 @@ def joined(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, "node bigint, component bigint")
 
 
-def _first_paths(classes: DataFrame, share: float) -> DataFrame:
-    """(node, rep): paths of length two in every tree."""
+def _first_paths(classes: DataFrame, share: float, trees: range) -> DataFrame:
+    """(node, rep): paths of length two in each of the trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             reps, sigs = batch.column(0).to_numpy(), _sigs(batch.column(1))
-            for tree in range(TREES):
+            for tree in trees:
                 root = np.full(len(reps), _blend(np.array([tree + 1], np.uint64))[0], np.uint64)
                 rows, paths = extend(root, sigs, share)
                 again, paths = extend(paths, sigs[rows], share)
@@ -301,12 +304,13 @@ def families(classes: DataFrame, share: float) -> DataFrame:
     A large node first compares all its classes with one pivot, which differs from node
     to node; classes that are near the same pivots are one part then.  A large node that
     lies in one part is done.  If one part holds most of it, the rest is compared with all
-    of the node, in blocks; else its paths are extended.
+    of the node, in blocks; else its paths are extended.  Each extension loses pairs again,
+    so classes of extended nodes get more trees (``DEEP_TREES``).
     """
-    edges = None
-    paths = _first_paths(classes, share)
     shorts = map_batches(classes.select("rep", "signature"), lambda: lambda batch: [[s.astype(np.uint8).tobytes() for s in _sigs(batch.column(batch.schema.get_field_index("signature")))]], [T.StructField("short", T.BinaryType())], keep=["rep"])
-    for depth in range(2, DEPTH + 1):
+
+    def compared(paths: DataFrame, edges: DataFrame | None, depth: int) -> tuple[DataFrame, DataFrame | None]:
+        """The edges with those that the nodes of these paths give; (node, rep) whose paths are to be extended, if any."""
         pick = F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "rep"))["rep"]
         sizes = paths.groupBy("node").agg(F.count("*").alias("n"), pick.alias("pivot")).where("n > 1")
         shared = cut(paths.join(sizes, "node").join(shorts, "rep"))
@@ -320,26 +324,32 @@ def families(classes: DataFrame, share: float) -> DataFrame:
             near = near.unionByName(_near_pivot(large.join(pivots, "node")))
         near = cut(near)
         edges = near if edges is None else edges.unionByName(near)
-        found = cut(joined(edges))
         if not more:
-            break
-        parts = found.select(F.col("node").alias("rep"), "component")
+            return edges, None
+        parts = cut(joined(edges)).select(F.col("node").alias("rep"), "component")
         known = cut(large.join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component", "pivot"))
         held = known.groupBy("node", "part").agg(F.count("*").alias("m"))
         held = held.groupBy("node").agg(F.count("*").alias("k"), F.max(F.struct("m", "part")).alias("top")).where("k > 1").select("node", "top.m", F.col("top.part").alias("main"))
         mixed = cut(known.join(held, "node").withColumn("blocks", F.ceil(F.col("n") / NODE).cast("int")))
         if not mixed.limit(1).count():
-            break
+            return edges, None
         most = mixed.where("2 * m >= n")
         own = most.withColumns({"block": F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"), "role": F.lit(0)})
         rest = most.where("part <> main").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "role": F.lit(1)})
         edges = edges.unionByName(cut(_near_rest(own.unionByName(rest.select(*own.columns)))))
         deeper = mixed.where("2 * m < n").select("node", "rep")
-        if not deeper.limit(1).count():
-            found = cut(joined(edges))
+        return edges, deeper if deeper.limit(1).count() else None
+
+    edges, deeper = compared(_first_paths(classes, share, range(TREES)), None, 2)
+    if deeper is not None:
+        again = classes.join(deeper.select("rep").distinct(), "rep", "left_semi")
+        edges, others = compared(_first_paths(again, share, range(TREES, DEEP_TREES)), edges, 2)
+        deeper = deeper if others is None else deeper.unionByName(others)
+    for depth in range(3, DEPTH + 1):
+        if deeper is None:
             break
-        paths = _longer_paths(deeper, classes, share)
-    return found.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+        edges, deeper = compared(_longer_paths(deeper, classes, share), edges, depth)
+    return cut(joined(edges)).select(F.col("node").alias("rep"), F.col("component").alias("family"))
 
 
 class Block:
