@@ -37,10 +37,16 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes in full, at most two."""
-    mixed = mixing.mix(docs).where("taken > 0 AND doc_id IS NOT NULL")
-    copies = mixed.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("_copies")).where("_copies > 0")
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """As many copies of each document as the mix takes in full, at most two.
+
+    Rows without an id carry their columns through the mix; the others join by id.
+    """
+    row = F.when(F.col("doc_id").isNull(), F.struct(*docs.columns))
+    mixed = mixing.mix(docs.withColumn("_row", row), keep=("_row",)).where("taken > 0").withColumn("_copies", F.floor(F.col("taken") / F.col("size")).cast("int")).where("_copies > 0")
+    copies = mixed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
+    named = docs.join(copies, "doc_id").select(*docs.columns, "_copies")
+    unnamed = mixed.where("doc_id IS NULL").select("_row.*", "_copies")
+    return named.unionByName(unnamed).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -393,3 +393,12 @@ def test_pipeline_on_edge_rows(spark, docs, none, tmp_path):
             out.write.parquet(f"{tmp_path}/{start is docs}-{k}")
             out = spark.read.parquet(f"{tmp_path}/{start is docs}-{k}")
         assert out.where("NOT round_trip").count() == 0
+
+
+def test_pipeline_mix_keeps_rows_without_id(spark):
+    import corpus_pipeline as p
+
+    rows = [(None, "one two three", "en", "a", 13), (None, "four five", "de", "a", 9), (1, "six seven", "en", "a", 9)]
+    out = p.mix_sources(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    # 7 words, a budget of 10: all rows once, and then what fits of the second copies
+    assert {tuple(x) for x in out} == set(rows) and sum(len(x["text"].split()) for x in out) <= 10
