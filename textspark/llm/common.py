@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,14 +36,52 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it again, which cuts its lineage.
+
+    A written table outlives its executors, tells the planner its size and is dealt anew
+    where a join needs it, so that adaptive execution can split its hot keys.  Tables in
+    ``done`` that an earlier cut wrote are deleted: the caller needs them no more.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    delete(*done)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in any store that Spark writes to."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def delete(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these tables."""
+    for t in tables:
+        if getattr(t, "_folder", None):
+            remove(t.sparkSession, t._folder)
 
 
-#: Rows of an Arrow batch; texts are wide, and a worker holds a few copies of its batch.
-BATCH_ROWS = 2000
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that ``cut`` wrote in this application; results that were not written yet are lost."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        remove(spark, spark.sparkContext.getCheckpointDir())
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows and bytes of an Arrow batch; texts are wide, and a worker holds a few copies of its batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "32m"}
 
 
 def release() -> None:
@@ -54,10 +93,15 @@ def release() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of Arrow batches, unless the session already asks for fewer."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bound Arrow batches by rows and bytes, where the user has not set these options.
+
+    Spark reads them when it makes a plan, which is after this call, so they are set for
+    the session.
+    """
+    known = spark._jsparkSession.sessionState().conf()
+    for name, value in BATCH.items():
+        if not known.contains(name):
+            spark.conf.set(name, value)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:

@@ -4,10 +4,11 @@ Alternating stars: each round links every node to the smallest neighbour
 (large star), then every node's smaller neighbours to the smallest of them
 (small star), until nothing changes.  Rounds grow with the logarithm of the
 size of a component.  Neighbourhoods are never gathered: a round takes minima
-(combined before the shuffle) and joins them back to the edges, and a node with
-very many edges is a skewed join key, which adaptive execution splits.  Each
-round is cut to the shared checkpoint folder, so a lost executor costs a round
-at most.
+(combined before the shuffle), writes them, and joins them back to the edges.
+Both sides of such a join are written tables, so a small one is broadcast by its
+known size and a node with very many edges is split by adaptive execution.  Each
+step is a table in the shared checkpoint folder, so a lost executor costs a step
+at most; tables of earlier rounds are deleted.
 """
 
 from __future__ import annotations
@@ -37,12 +38,13 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.distinct(), least)
         # every row now goes from a node to a smaller one
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        smallest = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(smallest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), now, large, smallest)
         before, state = state, _state(now)
         if state == before:
             break
