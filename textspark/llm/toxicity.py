@@ -8,21 +8,23 @@ Windows overlap by half and cover the whole text; a text's logit is the largest
 its windows', corrected for the number of windows by a fitted line.  Everything is
 numpy, trained here.
 
-Training sees text labels only: it begins with all windows of a text under the
+Training sees text labels only: it begins with some windows of each text under the
 text's label and then goes on with the window of the largest logit (and, for clean
-texts, the hardest ones), the usual way for labels of bags.
-
-The network is fitted on the driver on a bounded sample: at most ``TOXIC`` and
-``CLEAN`` texts, those with the smallest hash of their id, of which up to
-``KEPT`` windows each (those with the smallest hash, out of all windows of the
-whole text) reach the driver.  All documents are scored whole.  A word's input
+texts, the hardest ones), the usual way for labels of bags.  Then the tasks score all
+windows of the whole sampled texts with the network as it is and send the ``KEPT``
+highest ones of each text, which are learnt from as well, so the toxic passage of a long
+text counts wherever it stands.
+
+The network is fitted on the driver on a bounded sample of labelled texts: at most
+``TOXIC`` and ``CLEAN`` texts, those with the smallest hash of their id, of which one in
+``HELD`` only calibrates the line.  All documents are scored whole.  A word's input
 products are computed once and kept in a bounded table of the task.
 
 Defined results: null text counts as empty; a text without words is one empty
 window and has a score like any other; repeated rows and ties have equal scores;
 labels that are null are no labels, and a document labelled twice is toxic if one
-label says so; without texts of both kinds every score is 0; an empty table gives
-an empty one.
+label says so; without texts of both kinds every score is 0; other columns stay, but one
+with the name of the new one is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,10 +40,12 @@ from pyspark.sql import types as T
 
 from textspark.llm.common import map_batches
 
-TOXIC, CLEAN, KEPT = 1000, 2000, 8
+TOXIC, CLEAN, KEPT = 1250, 3000, 8
+#: One text of so many of the sample only calibrates.
+HELD = 8
 WINDOW, STRIDE = 24, 12
 HIDDEN, WIDTH, BUCKETS = 8, 12, 1 << 14
-EPOCHS, BATCH = 8, 384
+EPOCHS, AGAIN, BATCH = 8, 2, 384
 #: Words whose input products a task keeps.
 TABLE = 200_000
 _STRIP = ".,;:!?\"'()[]{}*%&$#|<>-_"
@@ -209,8 +213,8 @@ class Scorer:
         self.net, self.ids = net, {}
         self.rows = np.zeros((1, 6 * HIDDEN), np.float32)
 
-    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Largest window logit of each text, and its number of windows."""
+    def window_logits(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """Words of each text, logits of all windows one text after the other, and numbers of windows."""
         if len(self.ids) > TABLE:
             self.ids, self.rows = {}, self.rows[:1]
         docs = [words_of(t) for t in texts]
@@ -233,9 +237,23 @@ class Scorer:
         for k in range(0, len(at), 2048):
             part = at[k : k + 2048].T
             found[k : k + 2048] = self.net.run(self.rows[part], part > 0)
-        counts = np.array(counts)
+        return docs, found, np.array(counts)
+
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Largest window logit of each text, and its number of windows."""
+        _, found, counts = self.window_logits(texts)
         return np.maximum.reduceat(found, np.concatenate([[0], np.cumsum(counts)[:-1]])), counts
 
+    def highest(self, texts: list[str], kept: int = KEPT) -> list[list[str]]:
+        """The windows of the largest logits of each whole text (ties: the earlier one)."""
+        docs, found, counts = self.window_logits(texts)
+        out, at = [], 0
+        for d, n in zip(docs, counts.tolist()):
+            places = np.argsort(-found[at : at + n], kind="stable")[:kept]
+            out.append([" ".join(d[i * STRIDE : i * STRIDE + WINDOW]) for i in places.tolist()])
+            at += n
+        return out
+
     def scores(self, texts: list[str]) -> np.ndarray:
         out = []
         for part in parts(texts):
@@ -258,29 +276,31 @@ def parts(texts: list[str], most: int = 1_000_000):
 
 
 def sampled(text: str, kept: int = KEPT) -> list[str]:
-    """Up to ``kept`` windows of a text, those with the smallest hash."""
+    """Up to ``kept`` windows to begin with, those with the smallest hash."""
     ws = words_of(text)
     found = [" ".join(ws[i] for i in row if i >= 0) for row in windows(len(ws))]
     return sorted(found, key=xxhash.xxh64_intdigest)[:kept] if len(found) > kept else found
 
 
-def fit(bags: list[tuple[list[str], int]], seed: int = 11) -> Recurrent | None:
-    """Fit on (windows, label) of texts; None unless both labels occur."""
-    labels = np.array([y for _, y in bags], dtype=np.float32)
+def fit(bags: list[tuple], seed: int = 11, net: Recurrent | None = None) -> Recurrent | None:
+    """Fit on (windows, label, ...) of texts, or go on with ``net``; None unless both labels occur."""
+    labels = np.array([b[1] for b in bags], dtype=np.float32)
     if not len(labels) or labels.min() == labels.max():
         return None
     names: dict[str, int] = {}
     rows, owner = [], []
-    for k, (ws, _) in enumerate(bags):
-        for w in ws:
+    for k, bag in enumerate(bags):
+        for w in bag[0]:
             ids = [names.setdefault(x, len(names)) for x in w.split()[:WINDOW]]
             rows.append(ids + [-1] * (WINDOW - len(ids)))
             owner.append(k)
     index, owner, words = np.array(rows), np.array(owner), list(names)
-    net, rng = Recurrent(seed), np.random.default_rng(seed)
+    rng = np.random.default_rng(seed)
     y = labels[owner]
     few = np.minimum(1.0, len(y) / 20_000)
-    for epoch in range(EPOCHS + int(EPOCHS * 2 * (1 - few))):
+    epochs = range(EPOCHS + int(EPOCHS * 2 * (1 - few))) if net is None else range(EPOCHS, EPOCHS + AGAIN)
+    net = net or Recurrent(seed)
+    for epoch in epochs:
         if epoch < 2:
             use = rng.permutation(len(index))
             weight = np.where(y == 1, (y == 0).sum() / max(1, (y == 1).sum()), 1.0).clip(0, 5)
@@ -323,37 +343,53 @@ def line(top: np.ndarray, n: np.ndarray, y: np.ndarray, ridge: float = 0.003, st
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Recurrent | None:
     """Fit on labelled documents for which ``learn`` (over the id) holds."""
+    spark = documents.sparkSession
     by = F.xxhash64(F.col("_id").cast("string"))
-    known = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("_y"))
-    # a bounded number of ids, so the broadcast is bounded; the last of them only calibrate
-    ranked = lambda y, n: known.where(F.col("_y") == y).orderBy(by, "_id").limit(n)
-    ids = F.broadcast(ranked(1, TOXIC).unionByName(ranked(0, CLEAN)))
-    more = F.broadcast(ranked(1, TOXIC + TOXIC // 4).unionByName(ranked(0, CLEAN + CLEAN // 2)))
-
-    def make():
-        return lambda batch: [pa.array([sampled(t or "") for t in batch.column(batch.schema.get_field_index("_t")).to_pylist()], pa.list_(pa.string()))]
-
-    chosen = documents.join(ids, documents[id] == ids["_id"]).select("_id", "_y", F.col(text).alias("_t"))
-    rows = map_batches(chosen, make, [T.StructField("_w", T.ArrayType(T.StringType()))], keep=["_id", "_y"]).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_w"]))
-    net = fit([(r["_w"], r["_y"]) for r in rows])
+    # two columns of each table under names of our own: no other column can clash
+    docs = documents.select(F.col(id).alias("_id"), F.col(text).alias("_t"))
+    known = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(label).alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
+    # a bounded number of ids reaches the driver
+    picked = [[r["_id"] for r in known.where(F.col("_y") == y).orderBy(by, "_id").limit(n).collect()] for y, n in ((0, CLEAN), (1, TOXIC))]
+    parts_of = {"fit": [(i, y) for y, ids in enumerate(picked) for i in ids[: len(ids) - len(ids) // HELD]], "line": [(i, y) for y, ids in enumerate(picked) for i in ids[len(ids) - len(ids) // HELD :]]}
+    schema = T.StructType([T.StructField("_id", known.schema["_id"].dataType), T.StructField("_y", T.IntegerType())])
+    chosen = {k: docs.join(F.broadcast(spark.createDataFrame([(i, int(y)) for i, y in rows], schema)), "_id") for k, rows in parts_of.items()}
+
+    def bags(make) -> list[tuple[list[str], int, object]]:
+        found = map_batches(chosen["fit"], make, [T.StructField("_w", T.ArrayType(T.StringType()))], keep=["_id", "_y"]).collect()
+        return [(list(r["_w"]), r["_y"], r["_id"]) for r in sorted(found, key=lambda r: (r["_id"], r["_w"]))]
+
+    def column(batch: pa.RecordBatch) -> list[str]:
+        return [t or "" for t in batch.column(batch.schema.get_field_index("_t")).to_pylist()]
+
+    first = bags(lambda: lambda batch: [pa.array([sampled(t) for t in column(batch)], pa.list_(pa.string()))])
+    net = fit(first)
     if net is None:
         return None
-    sent = documents.sparkSession.sparkContext.broadcast(net.p)
+
+    def hardest():
+        scorer = Scorer(Recurrent.of(sent.value))
+        return lambda batch: [pa.array([w for p in parts(column(batch)) for w in scorer.highest(p)], pa.list_(pa.string()))]
 
     def measure():
         scorer = Scorer(Recurrent.of(sent.value))
 
         def run(batch: pa.RecordBatch) -> list:
-            found = [scorer.logits(p) for p in parts([t or "" for t in batch.column(batch.schema.get_field_index("_t")).to_pylist()])]
+            found = [scorer.logits(p) for p in parts(column(batch))]
             return [pa.array(np.concatenate([f[0] for f in found]).astype(float)), pa.array(np.concatenate([f[1] for f in found]).astype(float))]
 
         return run
 
-    held = documents.join(more, documents[id] == more["_id"]).select("_id", "_y", F.col(text).alias("_t"))
-    rows = map_batches(held, measure, [T.StructField("_top", T.DoubleType()), T.StructField("_n", T.DoubleType())], keep=["_id", "_y"]).collect()
+    sent = spark.sparkContext.broadcast(net.p)
+    # texts of a repeated id share one bag of windows
+    every: dict = {}
+    for ws, y, k in [*first, *bags(hardest)]:
+        every.setdefault(k, ([], y))[0].extend(ws)
+    net = fit([(list(dict.fromkeys(ws)), y, k) for k, (ws, y) in every.items()], net=net)
+    sent = spark.sparkContext.broadcast(net.p)
+    rows = map_batches(chosen["line"], measure, [T.StructField("_top", T.DoubleType()), T.StructField("_n", T.DoubleType())], keep=["_id", "_y"]).collect()
     rows.sort()
-    net.line = line(*(np.array([r[k] for r in rows], dtype=float) for k in ("_top", "_n", "_y")))
+    if len({r["_y"] for r in rows}) == 2:
+        net.line = line(*(np.array([r[k] for r in rows], dtype=float) for k in ("_top", "_n", "_y")))
     return net
 
 
