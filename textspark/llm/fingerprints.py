@@ -10,21 +10,22 @@ A vector has two parts:
 
 * ``exact``: eight 32-bit words of the paragraph's SHA-256, summed modulo 2**32.
   It decides equality.
-* ``lanes``: 63 counters modulo 2**21.  Lane j counts the paragraph's adjacent word
+* ``lanes``: 63 counters modulo 2**40.  Lane j counts the paragraph's adjacent word
   pairs whose hash has bit j set; ``n`` counts all pairs.  Twice a lane less n is a
   sum of random signs, so squared differences of lanes estimate how many pairs two
   documents do not share.  ``likeness`` uses that:
   2 <a, b> / (|a|**2 + |b|**2) over the signed lanes, cut to 0..1.
 
-Counters are kept three to a 64-bit sum while words are added up, so a word costs
-21 additions inside generated code.
+Counters are kept three to a 64-bit sum while up to 2**20 words are added up, so a word
+costs 21 additions inside generated code; the sums of such chunks are then added modulo
+2**40, which no text that fits a row can reach.
 
 ``with_next`` finds each document's successor by descending id without a global
 sort: ids are dealt to buckets that follow each other, each bucket also gets the
-first row of the next one, and a window inside the bucket does the rest.  There
-are at most ``BUCKETS`` buckets, so the table of first rows that is broadcast has
-at most as many rows.  Texts are shuffled once; all later steps keep that
-partitioning.
+first row of the next one, and a window inside the bucket does the rest.  A bucket
+holds about ``BYTES`` of text, or less while there are few; so the table of first rows
+that is broadcast has one row for ``BYTES`` of input, or ``BUCKETS`` rows at least.
+Texts are shuffled once; all later steps keep that partitioning.
 
 Defined results: null text counts as empty; an empty text is one empty paragraph;
 null ids come last in descending order; rows with the same id follow each other
@@ -42,9 +43,12 @@ PACKED = 21
 MASK = (1 << 0) | (1 << 21) | (1 << 42)
 LOW = (1 << BITS) - 1
 WORDS = 8
-#: At most so many buckets of ids, with at least so many rows on average.
+#: Bytes of text in a bucket of ids; below so many buckets they are smaller, of at least so many rows on average.
+BYTES = 128 << 20
 BUCKETS = 20_000
 ROWS = 250
+#: Lanes of whole texts are kept modulo a power of two.
+TOTAL = (1 << 40) - 1
 POINTS = 64
 #: Word pairs that are counted before lanes are reduced; below 2**21.
 CHUNK = 20
@@ -82,14 +86,14 @@ def fingerprint(df: DataFrame, keys: list[str], body: str) -> DataFrame:
     parts = chunks.select(*keys, F.struct(F.array(*(F.col(f"_e{i}") for i in range(WORDS))).alias("exact"), lanes.alias("lanes"), F.col("_n").alias("n")).alias("_f"))
     parts = parts.groupBy(*keys).agg(F.collect_list("_f").alias("_f"))  # one part for a million words
     first = F.get("_f", F.lit(0))
-    total = F.aggregate(F.col("_f"), F.transform(first["lanes"], lambda x: F.lit(0).cast("long")), lambda a, f: F.zip_with(a, f["lanes"], lambda x, y: (x + y).bitwiseAND(F.lit(LOW))))
+    total = F.aggregate(F.col("_f"), F.transform(first["lanes"], lambda x: F.lit(0).cast("long")), lambda a, f: F.zip_with(a, f["lanes"], lambda x, y: (x + y).bitwiseAND(F.lit(TOTAL))))
     n = F.aggregate(F.col("_f"), F.lit(0).cast("long"), lambda a, f: a + f["n"])
     return parts.select(*keys, F.struct(first["exact"].alias("exact"), total.alias("lanes"), n.alias("n")).alias("fingerprint"))
 
 
 def _combined(a: Column, b: Column, sign: int) -> Column:
     mod = lambda bits: lambda x, y: F.pmod(x + sign * y, F.lit(1 << bits))
-    return F.struct(F.zip_with(a["exact"], b["exact"], mod(32)).alias("exact"), F.zip_with(a["lanes"], b["lanes"], mod(BITS)).alias("lanes"), (a["n"] + sign * b["n"]).alias("n"))
+    return F.struct(F.zip_with(a["exact"], b["exact"], mod(32)).alias("exact"), F.zip_with(a["lanes"], b["lanes"], mod(40)).alias("lanes"), (a["n"] + sign * b["n"]).alias("n"))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -127,15 +131,15 @@ def with_next(documents: DataFrame, id: str, text: str) -> DataFrame:
     """
     key = F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63)))
     rows = documents.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), key.alias("key"))
-    n, low, high, points = rows.agg(F.count("*"), F.min("key"), F.max("key"), F.percentile_approx("key", [i / POINTS for i in range(1, POINTS)], 10_000)).first()
+    n, size, low, high, points = rows.agg(F.count("*"), F.sum(F.octet_length("text")), F.min("key"), F.max("key"), F.percentile_approx("key", [i / POINTS for i in range(1, POINTS)], 10_000)).first()
     bounds = sorted({low, *(points or [])}) if n else [0]
-    fine = max(1, min(BUCKETS, n // ROWS) // len(bounds))
+    fine = max(1, max(min(BUCKETS, n // ROWS), (size or 0) // BYTES) // len(bounds))
     at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col("key") >= b))
     lows = F.element_at(F.array(*(F.lit(float(b)) for b in bounds)), F.col("_j"))
     highs = F.element_at(F.array(*(F.lit(float(b)) for b in [*bounds[1:], (high or 0) + 1])), F.col("_j"))
     within = (F.col("key").cast("double") - lows) / F.greatest(F.lit(1.0), highs - lows)
     dealt = rows.withColumn("_j", F.greatest(at, F.lit(1))).withColumn("bucket", (F.col("_j") - 1) * fine + F.greatest(F.lit(0), F.least(F.floor(within * fine).cast("int"), F.lit(fine - 1)))).drop("_j")
-    # at most BUCKETS rows: the largest id of each bucket, and the bucket that it follows
+    # one row for each bucket: the largest id of each bucket, and the bucket that it follows
     heads = dealt.groupBy("bucket").agg(F.max("key").alias("key"))
     above = F.lead("bucket").over(Window.orderBy("bucket"))
     heads = heads.select("key", F.coalesce(above, F.min("bucket").over(Window.partitionBy())).alias("to"))
