@@ -6,10 +6,11 @@ inside or outside of a secret.  Its features are a token's shape, the words befo
 and after it, and features of the file; it is decoded by Viterbi.  It adds spans of
 kind ``crf`` where no base span is.
 
-The field is trained here, on what the base patterns mark in a bounded sample of
-texts (``MARKED`` texts with a base span, ``OTHERS`` without, those with the
-smallest hash of their id; windows of whole texts around every mark, and ``SPREAD``
-windows elsewhere).  Neighbours are hidden at random while it learns, so that it
+The field is trained here, on what the base patterns mark in a bounded sample: of
+``MARKED`` texts with a base span and ``OTHERS`` texts (those with the smallest hash of
+their id) all windows of the whole texts are drawn from, and the ``AT_MARKS`` windows
+around a mark and ``ELSEWHERE`` other windows with the smallest hash are learnt from,
+however they are spread over the texts.  Neighbours are hidden at random while it learns, so that it
 also knows a secret by its own shape, and tagging is cautious: a span's score must
 beat the score of the same tokens outside by ``CAUTION``.
 
@@ -19,7 +20,8 @@ the chain falls into short pieces between such tokens.
 
 Defined results: null text counts as empty and has no spans; repeated rows are
 scanned each for itself; an empty table gives an empty one; without any base span in
-the sample nothing is added.  Begin and end count code points, end is exclusive.
+the sample nothing is added; other columns stay, but one with the name of the new one
+is replaced.  Begin and end count code points, end is exclusive.
 """
 
 from __future__ import annotations
@@ -32,13 +34,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textspark.llm.common import map_batches
+from textspark.llm.common import map_batches, small_batches
 
-MARKED, OTHERS, AROUND, SPREAD = 800, 800, 10, 2
+MARKED, OTHERS, AROUND = 800, 800, 10
+AT_MARKS, ELSEWHERE = 2500, 4000
 CAUTION = 4.0
 STEPS = 50
 TABLE = 300_000
@@ -202,8 +206,8 @@ def fit(windows: list[tuple[list[str], list[int], np.ndarray]], steps: int = STE
     return field
 
 
-def windows_of(text: str, marked: list[tuple[int, int, int, int]], spread: int = SPREAD) -> list[tuple[list[str], list[int], list[float]]]:
-    """Tagged windows around every mark, and ``spread`` windows elsewhere (smallest hash first)."""
+def windows_of(text: str, marked: list[tuple[int, int, int, int]]) -> list[tuple[bool, int, list[str], list[int], list[float]]]:
+    """All windows of a text: (around a mark or not, hash, tokens, tags, file features)."""
     found = list(TOKEN.finditer(text))
     tags = [2] * len(found)
     centres = []
@@ -217,9 +221,10 @@ def windows_of(text: str, marked: list[tuple[int, int, int, int]], spread: int =
             if first:
                 centres.append(i)
             first, i = False, i + 1
-    every = sorted(range(0, len(found), 2 * AROUND), key=lambda i: xxhash.xxh64_intdigest(f"{found[i].group()}{i}"))[:spread]
     file = file_features(text, len(found)).tolist()
-    return [([m.group() for m in found[max(0, i - AROUND) : i + AROUND]], tags[max(0, i - AROUND) : i + AROUND], file) for i in [*centres, *every]]
+    places = [*((True, i) for i in centres), *((False, i) for i in range(0, len(found), 2 * AROUND))]
+    tokens = [m.group() for m in found]
+    return [(at, xxhash.xxh3_64_intdigest(f"{i} {' '.join(tokens[max(0, i - AROUND) : i + AROUND])}") >> 1, tokens[max(0, i - AROUND) : i + AROUND], tags[max(0, i - AROUND) : i + AROUND], file) for at, i in places]
 
 
 class Scanner:
@@ -288,26 +293,29 @@ class Scanner:
 
 def train(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Field | None:
     """Fit the field on what the base patterns mark in a bounded sample."""
-    by = F.xxhash64(F.col(id).cast("string"))
-    telling = F.col(text).rlike(r"(?i)(passw|secret|token|api_?key)[^\n]{0,4}[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    rows = documents.where(F.col(text).isNotNull() & F.col(id).isNotNull())
+    by = F.xxhash64(F.col("_id").cast("string"))
+    # two columns under names of our own: no other column can clash
+    rows = documents.where(F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("_t"))
+    telling = F.col("_t").rlike(r"(?i)(passw|secret|token|api_?key)[^\n]{0,4}[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     # bounded numbers of ids, so the broadcast is bounded
-    ids = rows.where(telling).select(id).distinct().orderBy(by, id).limit(MARKED).unionByName(rows.select(id).distinct().orderBy(by, id).limit(OTHERS)).distinct().select(F.col(id).alias("_id"))
-    chosen = rows.join(F.broadcast(ids), rows[id] == F.col("_id")).select("_id", F.col(text).alias("_t"))
-
-    def make():
-        kind = pa.list_(pa.struct([("w", pa.list_(pa.string())), ("t", pa.list_(pa.int32())), ("f", pa.list_(pa.float64()))]))
-
-        def run(batch: pa.RecordBatch) -> list:
-            texts = batch.column(batch.schema.get_field_index("_t")).to_pylist()
-            return [pa.array([[{"w": w, "t": t, "f": f} for w, t, f in windows_of(x, base_spans(x)) if w] for x in texts], kind)]
-
-        return run
-
-    schema = T._parse_datatype_string("array<struct<w:array<string>,t:array<int>,f:array<double>>>")
-    found = map_batches(chosen, make, [T.StructField("_w", schema)], keep=["_id"]).collect()
-    windows = sorted((r["_id"], list(x["w"]), list(x["t"]), list(x["f"])) for r in found for x in r["_w"])
-    return fit([(w, t, np.array(f)) for _, w, t, f in windows]) if windows else None
+    ids = rows.where(telling).select("_id").distinct().orderBy(by, "_id").limit(MARKED).unionByName(rows.select("_id").distinct().orderBy(by, "_id").limit(OTHERS)).distinct()
+    chosen = rows.join(F.broadcast(ids), "_id").select("_t")
+    limits = {True: AT_MARKS, False: ELSEWHERE}
+
+    def run(batches):
+        for batch in batches:
+            found = [w for t in batch.column(0).to_pylist() for w in windows_of(t, base_spans(t)) if w[2]]
+            # those of a batch that can be among the smallest of all
+            found = [w for at, most in limits.items() for w in sorted((w for w in found if w[0] == at), key=lambda w: w[1])[:most]]
+            yield pa.RecordBatch.from_arrays([pa.array([w[k] for w in found], kind) for k, kind in enumerate(kinds)], names=["at", "hash", "w", "t", "f"])
+
+    kinds = (pa.bool_(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float64()))
+    small_batches(documents.sparkSession)
+    windows = chosen.mapInArrow(run, "at boolean, hash bigint, w array<string>, t array<int>, f array<double>")
+    windows = windows.persist(StorageLevel.MEMORY_AND_DISK)
+    found = [r for at, most in limits.items() for r in windows.where(F.col("at") == at).orderBy("hash", "w").limit(most).collect()]
+    windows.unpersist()
+    return fit([(list(r["w"]), list(r["t"]), np.array(r["f"])) for r in found]) if found else None
 
 
 def scan(documents: DataFrame, field: Field | None, text: str = "text", out: str = "spans") -> DataFrame:
