@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every document waits in its source's queue, in shuffled order (md5 of its id).
+Every document waits in its source's queue, in shuffled order (md5 of its id and text).
 A copy of a document finishes at the virtual time *words of the source up to and
 including it / target of the source*; the second copy of a source's documents
 queues up behind the first.  The mix takes copies in the order of finish times,
@@ -11,31 +11,41 @@ Targets: sources in code point order (null last) get the weights in turn; a
 target stops at ``most`` times the size of its source and what is above is
 shared anew by weight, until no target is above (water filling).
 
-Scale: a source may hold any share of the rows.  Running sums are taken per
-(source, leading digits of the md5) and joined with the sums of the digits
-before, so no task sees a whole source; the budget's cut is found from sums over
-bins of finish times and a look into the one bin that crosses it.  Only a table
-with one row per source is kept in one place, and two scalars reach the driver.
+The order of the mix is a global sort: copies are dealt to ranges of finish time
+(``repartitionByRange``), the words of each range are added up, and the range in which
+the budget ends is searched for the copy at which it ends.  What comes before that copy
+is taken, the rest is cut off.
+
+Scale: a source may hold any share of the rows.  Running sums inside a source are taken
+per (source, leading digits of the shuffle key), with so many digits that about ``ROWS``
+rows share them, and joined with the sums of the digits before, so no task sees a whole
+source.  Ranges grow in number with the rows.  Only a table with one row per source is
+sorted in one place; two scalars, the last copy, and one row for each range reach the
+driver.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source
-is a source of its own; a null id is shuffled as the empty text; repeated rows
-queue up each for itself (their copies are told apart by position); an empty
-table, or one without words, gives no words.
+is a source of its own; documents are shuffled by the md5 of id and text, where null
+counts as empty, so rows without an id are spread as well; repeated rows queue up each
+for itself (their copies are told apart by position); an empty table, or one without
+words, gives no words; columns in ``keep`` stay, others do not matter.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textspark.llm.common import cut
+from textspark.llm.common import cut, delete
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Hexadecimal digits of the shuffle key that deal a source's rows to tasks.
+#: Rows that share the hexadecimal digits of the shuffle key which deal a source's rows to tasks; rows of a range.
+ROWS = 250_000
 DIGITS = 3
-BINS = 8192
+RANGE = 500_000
 
 
 def words(text: str = "text") -> Column:
@@ -60,12 +70,15 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 def mix(documents: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the columns in ``keep``."""
-    shuffled = F.md5(F.coalesce(F.col(id).cast("string"), F.lit("")))
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    shuffled = F.md5(F.concat(part(id), F.lit(" "), part(text)).cast("binary"))
     narrow = cut(documents.select(F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(text).alias("size"), shuffled.alias("key"), *keep))
+    rows = narrow.count()
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = cut(targets(sizes, weights, share, most))
-    digits = F.substring("key", 1, DIGITS)
-    # one row for each source and digits, at most 16 ** DIGITS for a source
+    budget = int(float(shares.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * share)
+    digits = F.substring("key", 1, max(DIGITS, math.ceil(math.log(max(1, rows / ROWS), 16))))
+    # one row for each source and digits
     by = narrow.groupBy("source", digits.alias("digits")).agg(F.sum("size").alias("words"))
     start = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = by.select(F.col("source").alias("s"), F.col("digits").alias("d"), start.alias("start"))
@@ -74,26 +87,30 @@ def mix(documents: DataFrame, id: str = "doc_id", text: str = "text", source: st
     inside = F.sum("size").over(Window.partitionBy("source", "digits").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     queued = narrow.withColumn("digits", digits).withColumn("inside", inside)
     queued = queued.join(starts, queued["source"].eqNullSafe(starts["s"]) & (queued["digits"] == starts["d"])).drop("s", "d", "digits")
-    queued = cut(queued.withColumn("upto", F.col("start") + F.col("inside")).drop("start", "inside"))
+    queued = cut(queued.withColumn("upto", F.col("start") + F.col("inside")).drop("start", "inside"), narrow, shares)
     finish = lambda copy: F.when(F.col("target") > 0, (F.lit(copy) * F.col("source_size") + F.col("upto")) / F.col("target"))
-
-    budget = int(float(shares.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * share)
-    copies = queued.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("finish", F.when(F.col("target") > 0, (F.col("copy") * F.col("source_size") + F.col("upto")) / F.col("target"))).where("finish IS NOT NULL")
-    bin_ = F.least(F.floor(F.col("finish") * (BINS // 2)), F.lit(BINS)).alias("bin")
-    sums = copies.groupBy(bin_).agg(F.sum("size").alias("words"))
-    running = F.sum("words").over(Window.orderBy("bin"))
-    crossing = sums.withColumn("upto", running).where(F.col("upto") > budget).orderBy("bin").limit(1).collect()
-    if crossing:
-        at, before = crossing[0]["bin"], crossing[0]["upto"] - crossing[0]["words"]
-        order = ("finish", "turn", "key", "upto", "copy")
-        inner = copies.where(bin_ == at).withColumn("total", F.lit(before) + F.sum("size").over(Window.partitionBy().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    copies = queued.where("size > 0 AND target > 0").select("turn", "key", "upto", "size", F.explode(F.array(*(F.struct(F.lit(c).alias("copy"), finish(c).alias("finish")) for c in range(most)))).alias("c")).select("c.finish", "turn", "key", "upto", "c.copy", "size")
+    order = ("finish", "turn", "key", "upto", "copy")
+    ranges = max(1, math.ceil(most * rows / RANGE), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(copies.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    # one row for each range
+    sums = sorted(tuple(r) for r in dealt.groupBy("range").agg(F.sum("size")).collect())
+    upto, crossing = 0, None
+    for n, size in sums:
+        if upto + size > budget:
+            crossing = n
+            break
+        upto += size
+    if crossing is not None:
+        inner = dealt.where(F.col("range") == crossing).withColumn("total", F.lit(upto) + F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
         last = inner.where(F.col("total") > budget).orderBy(*order).limit(1).collect()[0]
         mark = F.struct(*(F.lit(last[c]).cast(t) for c, t in zip(order, ("double", "int", "string", "long", "int"))))
         place = lambda copy: F.struct(finish(copy).alias("finish"), F.col("turn").cast("int").alias("turn"), F.col("key"), F.col("upto").cast("long").alias("upto"), F.lit(copy).alias("copy"))
-        part = last["size"] - (last["total"] - budget)
-        take = lambda copy: F.when(F.col("size") == 0, 0).when(finish(copy).isNull(), 0).when(place(copy) < mark, F.col("size")).when(place(copy) == mark, part).otherwise(0)
+        part_taken = last["size"] - (last["total"] - budget)
+        take = lambda copy: F.when(F.col("size") == 0, 0).when(finish(copy).isNull(), 0).when(place(copy) < mark, F.col("size")).when(place(copy) == mark, part_taken).otherwise(0)
     else:
         take = lambda copy: F.when(finish(copy).isNull(), 0).otherwise(F.col("size"))
+    delete(dealt)
     taken = sum((take(c) for c in range(1, most)), take(0))
     return queued.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
 
@@ -101,7 +118,7 @@ def mix(documents: DataFrame, id: str = "doc_id", text: str = "text", source: st
 SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS turn FROM d GROUP BY source
