@@ -171,14 +171,17 @@ def measured(df: DataFrame, text: str = "text", out: str = "statistics") -> Data
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[Network, float] | None:
     """Fit on documents for which ``learn`` (over the id) holds; None without a trusted text."""
-    by = F.xxhash64(F.col(id).cast("string"))
-    trusted = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(id).agg(F.min(label).alias("_l")).where("_l = 1")
-    chosen = trusted.orderBy(by, id).limit(POSITIVES).select(F.col(id).alias("_id"), F.lit(1).alias("_trusted"))
-    other = documents.where(F.col(id).isNotNull()).select(id).distinct().orderBy(by, id).limit(POSITIVES + UNLABELLED).select(F.col(id).alias("_id"))
-    other = other.join(chosen, "_id", "left_anti").limit(UNLABELLED).withColumn("_trusted", F.lit(0))
+    by = F.xxhash64(F.col("_id").cast("string"))
+    # only two columns of each table, under names of our own: no other column can clash
+    docs = documents.where(F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("_t"))
+    known = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(label).alias("_l"))
+    trusted = known.groupBy("_id").agg(F.min("_l").alias("_l")).where("_l = 1")
+    chosen = trusted.orderBy(by, "_id").limit(POSITIVES).select("_id", F.lit(1).alias("_trusted"))
+    other = docs.select("_id").distinct().orderBy(by, "_id").limit(POSITIVES + UNLABELLED)
+    other = other.join(chosen, "_id", "left_anti").orderBy(by, "_id").limit(UNLABELLED).withColumn("_trusted", F.lit(0))
     # at most POSITIVES + UNLABELLED rows, so the broadcast is bounded
     ids = F.broadcast(chosen.unionByName(other))
-    sample = measured(documents.join(ids, documents[id] == ids["_id"]).select(F.col(text).alias("text"), "_trusted")).drop("text").collect()
+    sample = measured(docs.join(ids, "_id").select("_t", "_trusted"), "_t").drop("_t").collect()
     kept = {k: np.array(sorted(tuple(r["statistics"]) for r in sample if r["_trusted"] == k)).reshape(-1, len(NAMES)) for k in (0, 1)}
     if not len(kept[1]) or not len(kept[0]):
         return None
