@@ -10,17 +10,19 @@ Cauchy-Schwarz).  The survivors are compacted.  A threshold starts from a small
 sample of candidates (a true lower bound, so it costs no result) and rises as
 better rows are found.
 
-Queries go to the tasks in blocks of at most about ``block`` rows, so what is
-broadcast is bounded however many queries there are; each block is one pass over
-the candidates.  A task returns at most ``k`` rows for a query, and one ranking
-by query joins those.
+Queries go to the tasks in blocks of at most about ``block`` rows.  A block is one pass
+over the candidates; its result is written to the shared folder and its broadcast is
+destroyed before the next block is read, so the driver and the tasks hold one block
+however many queries there are.  A task returns at most ``k`` rows for a query, and one
+ranking by query joins those.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part; vectors of different length are never compared; rows
 that carry the query's own id are not its candidates; ties go to the smaller id;
-repeated candidate rows are ranked each for itself; repeated query rows are
-answered once; queries with fewer than ``k`` candidates return all of them, and
-without candidates nothing.  Ids must be integers, rows with a null id take no part.
+repeated candidate rows are ranked each for itself; a repeated query id is
+answered once, for its smallest vector; queries with fewer than ``k`` candidates return all of them, and
+without candidates nothing.  Ids must be integers, rows with a null id take no part;
+other columns do not matter; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textspark.llm.common import cut, delete
+
 QUERY_BLOCK = 4096
 SAMPLE = 2048
 DIMENSIONS = 16
@@ -109,7 +113,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id: str = "vec_id", vec
     """query_id, rank, vec_id, score: the ``k`` best rows for each row where ``query`` holds."""
     spark = vectors.sparkSession
     rows = vectors.where(usable(vector) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), quantised(vector, scale).alias("v"), query.alias("is_query"))
-    queries = rows.where("is_query").dropDuplicates(["id"])
+    queries = cut(rows.where("is_query").groupBy("id").agg(F.min("v").alias("v")))
     candidates = rows.select("id", "v")
     blocks = max(1, -(-queries.count() // block))
     seeds = _arrays(candidates.limit(SAMPLE).toArrow())
@@ -136,9 +140,12 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, id: str = "vec_id", vec
             found = [(int(i), v, -s) for d in asked for i, x in zip(asked[d][0], best[d]) for s, v in x if v is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
-        parts.append(candidates.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = candidates.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        parts.append(cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")))
+        sent.destroy()
+    delete(queries)
+    return reduce(DataFrame.unionByName, parts)
 
 
 SQL = """
@@ -147,10 +154,12 @@ WITH v AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (
+  SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+  FROM u q JOIN v c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
