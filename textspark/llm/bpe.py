@@ -26,12 +26,13 @@ from __future__ import annotations
 import json
 import sys
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,6 +234,15 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def shipped(df: DataFrame, path: str | None) -> Callable[[], Vocabulary]:
+    """How a task finds the vocabulary: the public file where it runs, or a file of the user's that is sent along."""
+    if path is None:
+        return lambda: vocabulary(default_path())
+    df.sparkSession.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[-1]
+    return lambda: vocabulary(SparkFiles.get(name))
+
+
 def slices(texts: list[str], most: int = SLICE) -> Iterable[list[str]]:
     """Consecutive texts of about ``most`` characters; a longer one is alone."""
     held, size = [], 0
@@ -248,10 +258,10 @@ def slices(texts: list[str], most: int = SLICE) -> Iterable[list[str]]:
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None, out: str = "token_ids") -> DataFrame:
     """Add ``out``: the ids of ``text``, packed as little-endian 32-bit integers (see ``unpack``)."""
-    path = path or default_path()
+    find = shipped(df, path)
 
     def make():
-        known = vocabulary(path)
+        known = find()
 
         def run(batch: pa.RecordBatch) -> list:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
@@ -264,10 +274,10 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, out: str
 
 def decode(df: DataFrame, ids: str = "token_ids", path: str | None = None, out: str = "decoded") -> DataFrame:
     """Add ``out``: the text of the packed ids in ``ids``; null ids count as none."""
-    path = path or default_path()
+    find = shipped(df, path)
 
     def make():
-        known = vocabulary(path)
+        known = find()
         return lambda batch: [[known.decode(x or b"") for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]]
 
     return map_batches(df, make, [T.StructField(out, T.StringType())])
@@ -275,10 +285,10 @@ def decode(df: DataFrame, ids: str = "token_ids", path: str | None = None, out:
 
 def round_trip(df: DataFrame, text: str = "text", path: str | None = None, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``encode`` and ``decode`` in one pass, so a task needs one worker and one vocabulary."""
-    path = path or default_path()
+    find = shipped(df, path)
 
     def make():
-        known = vocabulary(path)
+        known = find()
 
         def run(batch: pa.RecordBatch) -> list:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
