@@ -331,7 +331,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(neardup, "NODE", 6)
         monkeypatch.setattr(neardup, "BLOCK", 12)
         monkeypatch.setattr(neardup, "ANCHORS", 2)
-        monkeypatch.setattr(neardup, "LOCAL", 0)
+        monkeypatch.setattr(neardup, "TILE", 16)
     r = random.Random(10)
     rows = [(i, prose(i, r.randint(1, 80))) for i in range(80)]
     for g in range(3):

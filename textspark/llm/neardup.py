@@ -9,29 +9,44 @@ threshold; a component is what links reach.  Steps:
 2. Chosen paths: in each of ``TREES`` independent trees, a class extends a path by
    those of its minwise tokens that a hash of (path, token) selects, 1 / threshold of
    them on average.  Classes that share a path are a node.  Nodes of up to ``NODE``
-   classes compare all their signatures; larger ones go by pivots or extend their paths
-   further (see ``families``), until ``DEPTH``, where a node counts as alike.  Classes whose
-   paths are extended get ``DEEP_TREES`` trees.  By calculation for Jaccard .80, with the
-   spread of the signatures' agreement and ``CUT`` counted, a pair is missed 2.3 times in
-   100,000 at length two and at most 3.5 times if all its nodes are extended to ``DEPTH``.
+   classes compare all their signatures (four bits of each value); larger ones go by
+   pivots, and what these leave open extends its paths further (see ``families``) until
+   ``DEPTH``, where it is compared in tiles.  Classes whose paths are extended get
+   ``DEEP_TREES`` trees.
 3. Pairs whose signatures agree well (``CUT``) join classes to *families* by connected
    components.  A family holds every link of its members; it may hold more.
 4. Links are confirmed on full sets inside families, in blocks of about ``BLOCK``
-   classes; all blocks of a large family also get the same ``ANCHORS`` members.  A
-   block looks for links until it knows that no two of its components are linked:
-   members outside its largest component are compared with all others.
+   classes and ``SHINGLES`` shingles; all blocks of a large family also get the same
+   ``ANCHORS`` members.  A block looks for links until it knows that no two of its
+   components are linked: members outside its largest component are compared with all
+   others.
 5. Large families: what the anchors did not join into the family's main component is
-   compared with every block, so no link is lost by the blocking.
+   compared with all of the family, so no link is lost by the blocking: first by
+   signatures in tiles, then on the full sets of the blocks that hold a likely partner.
 6. Connected components of the confirmed links give the result.
 
-No group is gathered beyond a block and no pairs of a group are written out: a block
-reports at most as many links as it has members.
+Recall.  A linked pair is lost only if no tree brings it together or its signatures
+disagree by chance.  By calculation for Jaccard .80, with the spread of the agreement of
+``HASHES`` values (which all trees share) and ``CUT`` counted, a pair is missed 2.3 times
+in 100,000 at length two and at most 3.5 times if all its nodes are extended to
+``DEPTH``; ``tests/llm`` measures it.
+
+Memory.  A task holds one group at a time: ``NODE`` classes, a tile of ``TILE`` by
+``TILE`` signatures, or ``BLOCK`` texts and as many that ask.  Inside a group links go to
+a forest, so a group writes fewer links than it has members and never its pairs.  What a
+large node or family leaves open, k of n members, is sent n * k / ``TILE`` * 2 times as
+signatures of 32 bytes, so the cost of a huge group of texts that are alike but not
+linked grows with its square, divided by ``TILE``.  Texts are shuffled for members of
+families only, by a bitmap of 32 bits for each member up to ``BITS`` in all; beyond
+33 million members it also lets others pass (3 % of them at 33 million, 61 % at a
+billion), which costs shuffling and changes no result.
 
 Defined results: words are runs without space, tab or line breaks, A-Z lower-cased;
 a text of fewer words than a shingle is one shingle; null text or text without words
-has an empty set and is linked with nothing; rows that share an id count as one
-document if it is the smallest of its class; a null id takes no part (component null,
-kept); an empty table gives an empty one; other columns do not matter.
+has an empty set and is linked with nothing; rows that share an id are one document,
+so different texts under one id are linked; a null id takes no part (component null,
+kept); ids are whole numbers; an empty table gives an empty one; other columns do not
+matter.
 """
 
 from __future__ import annotations
@@ -45,7 +60,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textspark.llm.common import cut, map_batches
+from textspark.llm.common import cut, delete, map_batches
 from textspark.llm.graph import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -53,9 +68,11 @@ HASHES, TREES, NODE, DEPTH = 64, 18, 160, 7
 #: Trees of the classes in nodes whose paths are extended beyond length two.
 DEEP_TREES = 80
 CUT = 0.55
-BLOCK, ANCHORS = 400, 16
-#: Largest bitmap of member ids (128 MB); edges that one task may join by itself (16 MB).
-BITS, LOCAL = 1 << 30, 1_000_000
+BLOCK, ANCHORS, SHINGLES = 400, 16, 4_000_000
+#: Signatures on each side of a tile.
+TILE = 4096
+#: Largest bitmap of member ids (128 MB); nodes of a forest before it is written.
+BITS, FOREST = 1 << 30, 500_000
 WORDS = 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -153,33 +170,47 @@ def signed(documents: DataFrame, id: str, text: str, k: int) -> DataFrame:
     return map_batches(documents.select(F.col(id).alias("doc_id"), F.col(text).alias("_t")), make, fields, keep=["doc_id"])
 
 
-def joined(edges: DataFrame) -> DataFrame:
-    """node, component of edges (a, b).
+class Forest:
+    """Union-find; remembers the links that joined something."""
 
-    Up to ``LOCAL`` edges, a bound on a task's memory, are joined by one task; more go
-    through the distributed rounds.  Both ways give the same rows.
-    """
-    edges = cut(edges.select("a", "b"))
-    if edges.count() > LOCAL:
-        return connected_components(edges, "a", "b").distinct()
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
+    def top(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def join(self, x: int, y: int, link: tuple[int, int] | None = None) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        self.links.append(link or (x, y))
+        return True
 
-        def top(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = x = up[up[x]]
-            return x
 
+def joined(edges: DataFrame) -> DataFrame:
+    """node, component of edges (a, b); each task first reduces its edges to a forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = top(a), top(b)
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-        nodes = list(up)
-        yield _batch(["node", "component"], pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64()))
+                forest.join(a, b)
+            if len(forest.up) > FOREST:
+                yield _links([(x, forest.top(x)) for x in list(forest.up)])
+                forest = Forest()
+        yield _links([(x, forest.top(x)) for x in list(forest.up)])
 
-    return edges.coalesce(1).mapInArrow(run, "node bigint, component bigint")
+    stars = cut(edges.select("a", "b").mapInArrow(run, "a bigint, b bigint"))
+    return cut(connected_components(stars, "a", "b").distinct(), stars)
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return _batch(["a", "b"], pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64()))
 
 
 def _first_paths(classes: DataFrame, share: float, trees: range) -> DataFrame:
@@ -230,6 +261,22 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def packed(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of each minwise value, two values to a byte."""
+    low = signatures.astype(np.uint8) & 15
+    return low[:, ::2] | low[:, 1::2] << 4
+
+
+def agree(some: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Whether packed signatures agree with another in a share of at least ``CUT`` of their values."""
+    x = some ^ one
+    return ((x & 15 == 0).sum(axis=-1) + (x & 240 == 0).sum(axis=-1)) >= CUT * HASHES
+
+
+def _shorts(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES // 2)
+
+
 def _alike(rows: DataFrame) -> DataFrame:
     """Edges (a, b) between classes of one node whose signatures agree; each class to the first of its kind."""
 
@@ -239,13 +286,13 @@ def _alike(rows: DataFrame) -> DataFrame:
             reps = batch_group.column("rep").to_numpy()
             if len(reps) < 2:
                 continue
-            sig = np.frombuffer(b"".join(batch_group.column("short").to_pylist()), np.uint8).reshape(len(reps), HASHES)
+            sig = _shorts(batch_group.column("short"))
             left = np.arange(len(reps))
             while len(left) > 1:
                 queue, members = [left[0]], [left[0]]
                 left = left[1:]
                 while queue and len(left):
-                    near = (sig[left] == sig[queue.pop()]).mean(axis=1) >= CUT
+                    near = agree(sig[left], sig[queue.pop()])
                     queue += left[near].tolist()
                     members += left[near].tolist()
                     left = left[~near]
@@ -253,13 +300,13 @@ def _alike(rows: DataFrame) -> DataFrame:
                     ids = reps[members]
                     low = int(ids.min())
                     edges.update((int(x), low) for x in ids if x != low)
-            if len(edges) > 500_000:
-                yield _batch(["a", "b"], *map(list, zip(*edges)))
+            if len(edges) > FOREST:
+                yield _links(list(edges))
                 edges = set()
         if edges:
-            yield _batch(["a", "b"], *map(list, zip(*edges)))
+            yield _links(list(edges))
 
-    return rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "short").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.select("node", "rep", "short").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _near_pivot(rows: DataFrame) -> DataFrame:
@@ -269,33 +316,47 @@ def _near_pivot(rows: DataFrame) -> DataFrame:
         edges: set[tuple[int, int]] = set()
         for batch in batches:
             if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("short", "pivot_short"))
-                near = np.flatnonzero((one == two).mean(axis=1) >= CUT)
-                edges.update(zip(batch.column("rep").to_numpy()[near].tolist(), batch.column("pivot").to_numpy()[near].tolist()))
-        edges = {(a, b) for a, b in edges if a != b}
+                near = np.flatnonzero(agree(_shorts(batch.column("short")), _shorts(batch.column("pivot_short"))))
+                edges.update((a, b) for a, b in zip(batch.column("rep").to_numpy()[near].tolist(), batch.column("pivot").to_numpy()[near].tolist()) if a != b)
+            if len(edges) > FOREST:
+                yield _links(list(edges))
+                edges = set()
         if edges:
-            yield _batch(["a", "b"], *map(list, zip(*edges)))
+            yield _links(list(edges))
 
     return rows.select("rep", "pivot", "short", "pivot_short").mapInArrow(run, "a bigint, b bigint")
 
 
-def _near_rest(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) of role 1 with role 0 in (node, block), where the signatures agree."""
+def _tiles(known: DataFrame, open_: DataFrame, group: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (group, own, other, role, ...) in which each open row meets all known rows of its group.
+
+    ``known`` holds (group, n) and ``open_`` (group, n, k): so many rows of the group are
+    known and open.  Both sides are dealt to tiles of about ``TILE`` rows and sent to the
+    tiles of the other side, so a tile is bounded however large the group is.
+    """
+    deal = lambda count: F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col(count) / TILE)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(count) / TILE) - 1).cast("int")))
+    columns = [group, "rep", "part", "short", *extra]
+    own = known.select(*columns, deal("n").alias("own"), every("k").alias("other"), F.lit(0).alias("role"))
+    ask = open_.select(*columns, deal("k").alias("other"), every("n").alias("own"), F.lit(1).alias("role"))
+    return own.unionByName(ask).select(group, "own", "other", "role", "rep", "part", "short", *extra).repartition(group, "own", "other").sortWithinPartitions(group, "own", "other", "role", "rep")
+
+
+def _near_open(tiles: DataFrame) -> DataFrame:
+    """Edges (a, b) of open rows with known ones, where the signatures agree; only those that join parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: set[tuple[int, int]] = set()
-        for group in groups(batches, 2):
+        for group in groups(batches, 3):
             reps, roles, parts = (group.column(c).to_numpy() for c in ("rep", "role", "part"))
-            sig = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(len(reps), HASHES)
+            sig, forest = _shorts(group.column("short")), Forest()
             own = np.flatnonzero(roles == 0)
             for at in np.flatnonzero(roles == 1):
-                near = own[((sig[own] == sig[at]).mean(axis=1) >= CUT) & (parts[own] != parts[at])]
-                _, first = np.unique(parts[near], return_index=True)  # one edge to each other part
-                edges.update((int(reps[at]), int(reps[j])) for j in near[first])
-        if edges:
-            yield _batch(["a", "b"], *map(list, zip(*edges)))
+                for j in own[agree(sig[own], sig[at]) & (parts[own] != parts[at])]:
+                    forest.join(int(parts[at]), int(parts[j]), (int(reps[at]), int(reps[j])))
+            if forest.links:
+                yield _links(forest.links)
 
-    return rows.select("node", "block", "rep", "role", "part", "short").repartition("node", "block").sortWithinPartitions("node", "block", "role").mapInArrow(run, "a bigint, b bigint")
+    return tiles.mapInArrow(run, "a bigint, b bigint")
 
 
 def families(classes: DataFrame, share: float) -> DataFrame:
@@ -303,41 +364,41 @@ def families(classes: DataFrame, share: float) -> DataFrame:
 
     A large node first compares all its classes with one pivot, which differs from node
     to node; classes that are near the same pivots are one part then.  A large node that
-    lies in one part is done.  If one part holds most of it, the rest is compared with all
-    of the node, in blocks; else its paths are extended.  Each extension loses pairs again,
-    so classes of extended nodes get more trees (``DEEP_TREES``).
+    lies in one part is done.  If one part holds most of it, or the paths have reached
+    ``DEPTH``, what is outside the largest part is compared with all of the node, in tiles;
+    else its paths are extended.  Each extension loses pairs again, so classes of extended
+    nodes get more trees (``DEEP_TREES``).
     """
-    shorts = map_batches(classes.select("rep", "signature"), lambda: lambda batch: [[s.astype(np.uint8).tobytes() for s in _sigs(batch.column(batch.schema.get_field_index("signature")))]], [T.StructField("short", T.BinaryType())], keep=["rep"])
+    shorts = cut(map_batches(classes.select("rep", "signature"), lambda: lambda batch: [[s.tobytes() for s in packed(_sigs(batch.column(batch.schema.get_field_index("signature"))))]], [T.StructField("short", T.BinaryType())], keep=["rep"]))
 
     def compared(paths: DataFrame, edges: DataFrame | None, depth: int) -> tuple[DataFrame, DataFrame | None]:
         """The edges with those that the nodes of these paths give; (node, rep) whose paths are to be extended, if any."""
         pick = F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "rep"))["rep"]
-        sizes = paths.groupBy("node").agg(F.count("*").alias("n"), pick.alias("pivot")).where("n > 1")
-        shared = cut(paths.join(sizes, "node").join(shorts, "rep"))
+        # written tables on both sides of a join let adaptive execution split hot nodes
+        sizes = cut(paths.groupBy("node").agg(F.count("*").alias("n"), pick.alias("pivot")).where("n > 1"))
+        shared = cut(paths.join(sizes, "node").join(shorts, "rep"), sizes)
         near = _alike(shared.where(F.col("n") <= NODE))
         large = shared.where(F.col("n") > NODE)
-        pivots = large.where("rep = pivot").select("node", F.col("short").alias("pivot_short"))
-        more = depth < DEPTH and bool(large.limit(1).count())
-        if depth == DEPTH:
-            near = near.unionByName(large.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        elif more:
+        more = bool(large.limit(1).count())
+        if more:
+            pivots = cut(large.where("rep = pivot").groupBy("node").agg(F.min("short").alias("pivot_short")))
             near = near.unionByName(_near_pivot(large.join(pivots, "node")))
         near = cut(near)
         edges = near if edges is None else edges.unionByName(near)
         if not more:
+            delete(shared)
             return edges, None
-        parts = cut(joined(edges)).select(F.col("node").alias("rep"), "component")
-        known = cut(large.join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component", "pivot"))
+        parts = joined(edges).select(F.col("node").alias("rep"), "component")
+        known = cut(large.join(parts, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component", "pivot"), shared, pivots)
         held = known.groupBy("node", "part").agg(F.count("*").alias("m"))
-        held = held.groupBy("node").agg(F.count("*").alias("k"), F.max(F.struct("m", "part")).alias("top")).where("k > 1").select("node", "top.m", F.col("top.part").alias("main"))
-        mixed = cut(known.join(held, "node").withColumn("blocks", F.ceil(F.col("n") / NODE).cast("int")))
+        held = cut(held.groupBy("node").agg(F.count("*").alias("k"), F.max(F.struct("m", "part")).alias("top")).where("k > 1").select("node", "top.m", F.col("top.part").alias("main")))
+        mixed = cut(known.join(held, "node").withColumn("k", F.col("n") - F.col("m")), known, held)
         if not mixed.limit(1).count():
             return edges, None
-        most = mixed.where("2 * m >= n")
-        own = most.withColumns({"block": F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"), "role": F.lit(0)})
-        rest = most.where("part <> main").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "role": F.lit(1)})
-        edges = edges.unionByName(cut(_near_rest(own.unionByName(rest.select(*own.columns)))))
-        deeper = mixed.where("2 * m < n").select("node", "rep")
+        last = F.lit(depth >= DEPTH) | (F.col("k") <= F.col("m"))
+        most = mixed.where(last)
+        edges = edges.unionByName(cut(_near_open(_tiles(most, most.where("part <> main"), "node"))))
+        deeper = cut(mixed.where(~last).select("node", "rep"), mixed)
         return edges, deeper if deeper.limit(1).count() else None
 
     edges, deeper = compared(_first_paths(classes, share, range(TREES)), None, 2)
@@ -349,7 +410,7 @@ def families(classes: DataFrame, share: float) -> DataFrame:
         if deeper is None:
             break
         edges, deeper = compared(_longer_paths(deeper, classes, share), edges, depth)
-    return cut(joined(edges)).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    return joined(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
 
 
 class Block:
@@ -392,36 +453,47 @@ def inside(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _confirmed(placed: DataFrame, k: int, percent: int, cross: bool) -> DataFrame:
-    """Links (a, b) inside (family, block); with ``cross``, only between rows of role 1 and of role 0."""
+    """Links (a, b) inside (family, block, sub); with ``cross``, only between rows of role 1 and of role 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
-        found: list[tuple[int, int]] = []
-        for group in groups(batches, 2):
+        for group in groups(batches, 3):
             reps, roles = group.column("rep").to_numpy(), group.column("role").to_numpy()
             if len(reps) < 2:
                 continue
             if not cross:
                 sets = [shingles(t or "") for t in group.column("text").to_pylist()]
-                found += [(int(reps[i]), int(reps[j])) for i, j in inside(sets, percent) if reps[i] != reps[j]]
+                found = [(int(reps[i]), int(reps[j])) for i, j in inside(sets, percent) if reps[i] != reps[j]]
             else:
                 own = np.flatnonzero(roles == 0)
                 if not len(own) or len(own) == len(reps):
                     continue
-                block, parts = Block([shingles(t or "") for t in group.column("text").take(own).to_pylist()]), group.column("part").to_numpy()
+                block, parts, forest = Block([shingles(t or "") for t in group.column("text").take(own).to_pylist()]), group.column("part").to_numpy(), Forest()
                 for at in np.flatnonzero(roles == 1):
-                    near = own[block.linked(shingles(group.column("text")[int(at)].as_py() or ""), percent)]
-                    # one link to each other component is enough
-                    _, first = np.unique(parts[near], return_index=True)
-                    found += [(int(reps[at]), int(reps[j])) for j in near[first] if parts[j] != parts[at]]
-            if len(found) > 500_000:
-                yield _batch(["a", "b"], *map(list, zip(*found)))
-                found = []
-        if found:
-            yield _batch(["a", "b"], *map(list, zip(*found)))
+                    for j in own[block.linked(shingles(group.column("text")[int(at)].as_py() or ""), percent)]:
+                        forest.join(int(parts[at]), int(parts[j]), (int(reps[at]), int(reps[j])))
+                found = forest.links
+            if found:
+                yield _links(found)
+
+    columns = ["family", "block", "sub", "rep", "role", "part", "text"]
+    return placed.select(*columns).repartition("family", "block", "sub").sortWithinPartitions("family", "block", "sub", "role", "rep").mapInArrow(run, "a bigint, b bigint")
+
+
+def _asks(tiles: DataFrame) -> DataFrame:
+    """(family, block, rep, part): open rows, and the blocks of other parts' members whose signatures agree with theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 3):
+            family, reps, roles, parts, blocks = (group.column(c).to_numpy() for c in ("family", "rep", "role", "part", "block"))
+            sig = _shorts(group.column("short"))
+            own = np.flatnonzero(roles == 0)
+            found = [(int(b), int(reps[at]), int(parts[at])) for at in np.flatnonzero(roles == 1) for b in np.unique(blocks[own[agree(sig[own], sig[at]) & (parts[own] != parts[at])]])]
+            if found:
+                b, r, p = zip(*found)
+                yield _batch(["family", "block", "rep", "part"], pa.array([int(family[0])] * len(b), pa.int64()), pa.array(b, pa.int32()), pa.array(r, pa.int64()), pa.array(p, pa.int64()))
 
-    columns = ["family", "block", "rep", "role", "part", "text"]
-    return placed.select(*columns).repartition("family", "block").sortWithinPartitions("family", "block", "role", "rep").mapInArrow(run, "a bigint, b bigint")
+    return tiles.mapInArrow(run, "family bigint, block int, rep bigint, part bigint")
 
 
 def _members_only(texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -441,41 +513,55 @@ def _members_only(texts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def links(documents: DataFrame, members: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
-    """Confirmed links that join all linked members of the families."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = cut(members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    """Confirmed links that join all linked members (rep, family, n_shingles, short) of the families."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("_s"))
+    sizes = cut(sizes.select("family", "n", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("_s") / SHINGLES)).cast("int").alias("blocks")))
+    placed = cut(members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), sizes)
     large = placed.where("blocks > 1")
     texts = _members_only(documents.select(F.col(id).cast("long").alias("rep"), F.col(text).alias("text")), members)
-    rows = placed.select("family", "block", "rep", F.lit(0).alias("role"), F.lit(0).cast("long").alias("part"))
+    row = lambda block, role, part, sub=F.lit(0): ("family", block.alias("block"), sub.alias("sub"), "rep", F.lit(role).alias("role"), part.cast("long").alias("part"))
+    rows = placed.select(*row(F.col("block"), 0, F.lit(0)))
     has_large = bool(large.limit(1).count())
     if has_large:
         order = Window.partitionBy("family").orderBy(F.xxhash64("rep", F.lit(1)), "rep")
         anchors = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ANCHORS)
         to = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")))
-        rows = rows.unionByName(anchors.select("family", to.alias("block"), "rep", F.lit(1).alias("role"), F.lit(0).cast("long").alias("part")))
-    first = cut(_confirmed(rows.join(texts, "rep"), k, percent, cross=False))
+        rows = rows.unionByName(anchors.select(*row(to, 1, F.lit(0))))
+    first = cut(_confirmed(cut(rows).join(texts, "rep"), k, percent, cross=False))
     if not has_large:
         return first
     parts = joined(first)
     known = large.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    known = cut(known)
-    main = known.groupBy("family", "part").agg(F.count("*").alias("m")).groupBy("family").agg(F.max_by("part", F.struct("m", "part")).alias("main"))
-    rest = cut(known.join(main, "family").where("part <> main").drop("main"))
-    if not rest.limit(1).count():
+    known = cut(known, parts)
+    main = known.groupBy("family", "part").agg(F.count("*").alias("m")).groupBy("family").agg(F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts"))
+    main = cut(main.where("parts > 1").select("family", "top.m", F.col("top.part").alias("main")))
+    known = cut(known.join(main, "family").withColumn("k", F.col("n") - F.col("m")), known, main)
+    if not known.limit(1).count():
         return first
-    asks = rest.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", F.lit(1).alias("role"), "part")
-    holds = known.join(rest.select("family").distinct(), "family", "left_semi").select("family", "block", "rep", F.lit(0).alias("role"), "part")
-    return first.unionByName(cut(_confirmed(holds.unionByName(asks).join(texts, "rep"), k, percent, cross=True)))
+    asks = cut(_asks(_tiles(known, known.where("part <> main"), "family", ("block",))).distinct())
+    subs = cut(asks.groupBy("family", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("subs")))
+    asking = asks.join(subs, ["family", "block"]).select(*row(F.col("block"), 1, F.col("part"), F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int")))
+    holding = known.join(subs, ["family", "block"]).select(*row(F.col("block"), 0, F.col("part"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1))))
+    second = cut(_confirmed(cut(holding.unionByName(asking)).join(texts, "rep"), k, percent, cross=True), asks, subs, known)
+    return first.unionByName(second)
 
 
 def components(documents: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``documents``."""
     share = 100 / percent
     rows = cut(signed(documents, id, text, shingle))
-    classes = cut(rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("signature").alias("signature")))
+    named = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
+    classes = cut(named.groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n_shingles")))
     members = families(classes, share)
-    found = joined(links(documents, members, id, text, shingle, percent))
-    named = classes.select("key", "rep").join(found.select(F.col("node").alias("rep"), "component").distinct(), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    component = F.coalesce("component_id", F.col("doc_id").cast("long"))
+    short = map_batches(classes.select("rep", "n_shingles", "signature"), lambda: lambda batch: [[s.tobytes() for s in packed(_sigs(batch.column(batch.schema.get_field_index("signature"))))]], [T.StructField("short", T.BinaryType())], keep=["rep", "n_shingles"])
+    members = cut(members.join(short.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"), F.min("short").alias("short")), "rep"), members)
+    # ids with several texts: each of their classes holds the id
+    several = named.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("doc_id")
+    same = named.select("doc_id", "key").join(several, "doc_id").join(classes.select("key", "rep"), "key").select(F.col("doc_id").cast("long").alias("a"), F.col("rep").alias("b"))
+    found = joined(links(documents, members, id, text, shingle, percent).unionByName(same))
+    named = classes.select(F.col("key").alias("_key"), "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("_key", F.coalesce("component", "rep").alias("component_id"))
+    # rows without a set are spread over the partitions of the join by their id
+    place = F.coalesce("key", F.col("doc_id").cast("string").cast("binary"))
+    out = rows.select("doc_id", "n_shingles", "key", place.alias("_key")).join(cut(named), "_key", "left")
+    component = F.coalesce(F.when(F.col("key").isNotNull(), F.col("component_id")), F.col("doc_id").cast("long"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
