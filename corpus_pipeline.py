@@ -2,7 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and
 read again as the next stage's ``docs``.  All but the last return the columns of
-documents.
+documents; columns that ``documents`` has beyond those of the contract are kept, whatever
+their names.
+
+Defined results.  Null texts count as empty everywhere: such a document has a quality
+score like any other, takes no part in near-duplicates and stays, has no secrets, has no
+words and so is never mixed in.  Documents without an id stay in the first three stages
+and are mixed like others.  Rows that share an id are one document for near-duplicates:
+the first by its columns stays.  Ties of scores, hashes and finish times are broken by
+value, so reruns agree.  Very long texts are handled whole.  Empty tables, of documents
+or labels, give empty results; without labels every document has score 0.5 and stays.
 """
 
 from __future__ import annotations
@@ -11,23 +20,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textspark.llm import bpe, mixing, neardup, quality, secrets
-from textspark.llm.common import ensure_checkpoint_dir, fold, table
+from textspark.llm.common import cut, ensure_checkpoint_dir, fold, fresh, remove, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; the others go."""
     fitted = quality.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
-    return quality.score(docs, fitted and fitted[0], out="_score").where("_score >= 0.5").select(*docs.columns)
+    score = fresh(docs, "_score")
+    return quality.score(docs, fitted and fitted[0], out=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    kept = neardup.components(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    unique = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # rows without an id take no part and stay
-    return unique.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest id; rows without an id stay."""
+    kept = cut(neardup.components(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    row = fresh(docs, "_row")
+    order = F.xxhash64(*(f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)))
+    unique = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias(row))
+    return unique.select(f"{row}.*").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +51,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes in full, at most two.
 
-    Rows without an id carry their columns through the mix; the others join by id.
+    Of the document at which the budget ends only a part would be taken, so that copy goes.
+    Rows without an id carry their columns through the mix; the others, of which the stage
+    before keeps one for each id, join by id.
     """
-    row = F.when(F.col("doc_id").isNull(), F.struct(*docs.columns))
-    mixed = mixing.mix(docs.withColumn("_row", row), keep=("_row",)).where("taken > 0").withColumn("_copies", F.floor(F.col("taken") / F.col("size")).cast("int")).where("_copies > 0")
-    copies = mixed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    named = docs.join(copies, "doc_id").select(*docs.columns, "_copies")
-    unnamed = mixed.where("doc_id IS NULL").select("_row.*", "_copies")
-    return named.unionByName(unnamed).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row, copies, copy = (fresh(docs, n) for n in ("_row", "_copies", "_copy"))
+    mixed = mixing.mix(docs.withColumn(row, F.when(F.col("doc_id").isNull(), F.struct(*docs.columns))), keep=(row,)).where("taken > 0")
+    mixed = mixed.select("doc_id", row, F.floor(F.col("taken") / F.col("size")).cast("int").alias(copies)).where(F.col(copies) > 0)
+    taken = cut(mixed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(copies).alias(copies)))
+    named = docs.join(taken, "doc_id").select(*docs.columns, copies)
+    unnamed = mixed.where("doc_id IS NULL").select(f"{row}.*", copies)
+    return named.unionByName(unnamed).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,4 +90,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # what the stage before wrote is needed no more
+            remove(spark, f"{folder}/{k - 1}")
     return docs
