@@ -31,13 +31,10 @@ def candidates(df: DataFrame, rules: tuple[S.Rule, ...] = S.PII_RULES, kinds: tu
     if "datetime" in kinds:
         times = D.longest_first(D.extract(df, id, text), id)
         out = out.unionByName(_found(times, id, DATETIME, D.collection(D.granularity(F.col("data"))), S.DATETIME, F.col("text")))
-    if "number" in kinds or "duration" in kinds:
-        tokens = T.tokenize(df, id, text)
-        sliced = lambda found: found.join(df.select(id, F.col(text).alias("_t")), id).withColumn("_x", X.piece(F.col("_t"), F.col("begin"), F.col("end")))
-        if "number" in kinds:
-            out = out.unionByName(_found(sliced(V.find_numbers(tokens)), id, NUMBER, F.lit("number"), S.OTHER, F.col("_x")))
-        if "duration" in kinds:
-            out = out.unionByName(_found(sliced(V.find_durations(tokens, id)), id, DURATION, F.lit("duration"), S.DURATION, F.col("_x")))
+    if "number" in kinds:
+        out = out.unionByName(_found(V.find_numbers(df, id, text), id, NUMBER, F.lit("number"), S.OTHER, F.col("text")))
+    if "duration" in kinds:
+        out = out.unionByName(_found(V.find_durations(df, id, text), id, DURATION, F.lit("duration"), S.DURATION, F.col("text")))
     return out
 
 
@@ -76,8 +73,6 @@ def select(df: DataFrame, clicks: DataFrame, rules: tuple[S.Rule, ...] = S.PII_R
 
 def classify_durations(selections: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, duration_ms): selections of which every token belongs to one duration; others are null."""
-    tokens = T.tokenize(selections, id, text)
-    tagged = V.duration_tokens(tokens)
-    whole = tagged.groupBy(id).agg(F.count_if(F.col("kind").isNull()).alias("odd")).where("odd = 0").select(id)
-    found = V.find_durations(tokens.join(whole, id, "left_semi"), id).groupBy(id).agg(F.min("duration_ms").alias("duration_ms"))
+    whole = f"^[{T.SPACE}]*(?:{V.duration_runs()})[{T.SPACE}]*$"
+    found = V.find_durations(selections.where(F.col(text).rlike(whole)), id, text).groupBy(id).agg(F.min("duration_ms").alias("duration_ms"))
     return selections.select(id).join(found, id, "left")

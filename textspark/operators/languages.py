@@ -29,10 +29,11 @@ def ngrams(word: Column, n: int = 3) -> Column:
 def ngram_counts(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
     """(id, gram, n, weight): how often each n-gram occurs, and its share of the text's n-grams.
 
-    Words are counted before their n-grams are formed, so a repeated word costs one row.
+    Texts are dealt by id once; words are counted before their n-grams are formed, so a
+    repeated word costs one row, and all counting stays in that partitioning.
     """
-    by_word = df.select(id, F.explode(words(F.lower(text))).alias("w")).groupBy(id, "w").agg(F.count("*").alias("c"))
-    counts = by_word.select(id, "c", F.explode(ngrams(F.col("w"), n)).alias("gram")).groupBy(id, "gram").agg(F.sum("c").alias("n"))
+    by_word = df.select(id, text).repartition(id).select(id, F.explode(words(F.lower(text))).alias("_w")).groupBy(id, "_w").agg(F.count("*").alias("_c"))
+    counts = by_word.select(id, "_c", F.explode(ngrams(F.col("_w"), n)).alias("gram")).groupBy(id, "gram").agg(F.sum("_c").alias("n"))
     return counts.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy(id)))
 
 
@@ -43,16 +44,28 @@ def script_shares(text: Column) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, SCRIPTS)), F.array(*(F.when(total > 0, c / total).otherwise(F.lit(0.0)) for c in counts)))
 
 
+def _by_gram(df: DataFrame, lang: str, id: str, text: str) -> tuple[DataFrame, list[str]]:
+    """(gram, w): an array of weights for each gram, one for each of the languages that are returned, in order.
+
+    Only the names of the languages reach the driver, read from their column alone.
+    """
+    known = df.where(F.col(lang).isNotNull())
+    names = sorted(r[0] for r in known.select(lang).distinct().collect())
+    # words of a language are counted before their n-grams are formed: a word costs one row for each language
+    by_word = known.select(F.col(lang).alias("_l"), F.explode(words(F.lower(text))).alias("_w")).groupBy("_l", "_w").agg(F.count("*").alias("_c"))
+    rows = by_word.select("_l", "_c", F.explode(ngrams(F.col("_w"))).alias("gram"))
+    by_gram = rows.groupBy("gram").agg(F.array(*(F.coalesce(F.sum(F.when(F.col("_l") == name, F.col("_c"))), F.lit(0)) for name in names)).alias("ns"))
+    # one row: the sum for each language, and the number of grams
+    sums = by_gram.agg(F.array(*(F.sum(F.get("ns", F.lit(i))) for i in range(len(names)))).alias("totals"), F.count("*").alias("grams"))
+    weights = F.zip_with("ns", "totals", lambda n, total: F.round(F.log((n + 1) / (total + F.col("grams"))), 4))
+    return by_gram.crossJoin(F.broadcast(sums)).select("gram", weights.alias("w")), names
+
+
 def train(df: DataFrame, lang: str = "lang", id: str = "doc_id", text: str = "text") -> DataFrame:
     """(gram, lang, weight): smoothed log shares, rounded so that the order of sums doesn't show."""
-    counts = ngram_counts(df.select(id, text), id, text).join(df.select(id, lang).where(F.col(lang).isNotNull()), id).groupBy("gram", lang).agg(F.sum("n").alias("n"))
-    # one row for each language reaches the driver
-    totals = {r[lang]: r["total"] for r in counts.groupBy(lang).agg(F.sum("n").alias("total")).collect()}
-    by_gram = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct(lang, "n"))).alias("ns"))
-    grams = by_gram.count()
-    weight = lambda name: F.round(F.log((F.coalesce(F.try_element_at("ns", F.lit(name)), F.lit(0)) + 1) / (totals[name] + grams)), 4)
-    each = F.array(*(F.struct(F.lit(name).alias(lang), weight(name).alias("weight")) for name in sorted(totals)))
-    return by_gram.select("gram", F.explode(each).alias("x")).select("gram", f"x.{lang}", "x.weight")
+    weights, names = _by_gram(df, lang, id, text)
+    pairs = F.arrays_zip(F.array(*map(F.lit, names)).cast("array<string>").alias("n"), F.col("w").alias("w"))
+    return weights.select("gram", F.explode(pairs).alias("x")).select("gram", F.col("x.n").alias(lang), F.col("x.w").alias("weight"))
 
 
 def scores(counts: DataFrame, weights: DataFrame, id: str = "doc_id", lang: str = "lang") -> DataFrame:
@@ -62,6 +75,16 @@ def scores(counts: DataFrame, weights: DataFrame, id: str = "doc_id", lang: str
     return hits.groupBy(id, lang).agg(F.round(mean, 4).alias("score"))
 
 
+def self_scores(df: DataFrame, lang: str = "lang", id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``scores`` of the texts that the weights are learned from: one row for each gram is joined, not one for each language too."""
+    weights, names = _by_gram(df, lang, id, text)
+    hits = ngram_counts(df, id, text).select(id, "gram", "n").join(weights, "gram")
+    sums = [F.sum(F.col("n") * F.get("w", F.lit(i)).cast("decimal(12,4)")).cast("double").alias(f"_s{i}") for i in range(len(names))]
+    per_text = hits.groupBy(id).agg(F.sum("n").alias("_n"), *sums)
+    pairs = F.array(*(F.struct(F.lit(name).alias(lang), F.round(F.col(f"_s{i}") / F.col("_n"), 4).alias("score")) for i, name in enumerate(names)))
+    return per_text.select(id, F.explode(pairs).alias("_x")).select(id, f"_x.{lang}", "_x.score")
+
+
 def softmax(scored: DataFrame, id: str = "doc_id", scale: float = 1.0) -> DataFrame:
     """Add ``probability`` within each id; differences beyond 16 count as 16."""
     w = Window.partitionBy(id)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textspark.functions import text as X
+from textspark.functions.text import let
 
 FIELDS = ("year", "month", "day", "hour", "minute", "second", "ampm", "relation", "relation_type", "distance")
 #: Granularity numbers, coarse to fine.
@@ -35,11 +36,6 @@ PATTERNS = (
 )
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, where the value is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def parse_year(digits: Column) -> Column:
     """Two digits below 50 are of this century, others of the last one."""
     y = digits.try_cast("int")
@@ -144,8 +140,25 @@ def interpret(d: Column, reference_ms: Column, zone: Column, first_day: Column |
             out = out.when(size == g, at(unit))
         return out
 
-    done = let(let(let(day, moved), filled), rounded)
-    return F.unix_millis(F.to_utc_timestamp(done.cast("timestamp"), zone))
+    return let(let(let(let(day, moved), filled), rounded), lambda t: instant(t, zone))
+
+
+def instant(local: Column, zone: Column) -> Column:
+    """Milliseconds of a wall time (without zone) in ``zone``, whatever the session's zone.
+
+    A wall time that a forward change of the clock skips moves on by the change; of the two
+    instants of one that a backward change repeats, the later one counts.
+    """
+    at = lambda t, a, b: F.convert_timezone(a, b, t)
+    utc = F.lit("UTC")
+
+    def chosen(first: Column) -> Column:
+        # the offset that holds three hours later, after any change that repeats this wall time
+        after = first + F.make_interval(hours=F.lit(3))
+        return let(local - (at(after, utc, zone) - after), lambda second: F.when((second > first) & (at(second, utc, zone) == local), second).otherwise(first))
+
+    millis = lambda t: F.unix_date(t.cast("date")).cast("bigint") * 86_400_000 + F.hour(t) * 3_600_000 + F.minute(t) * 60_000 + F.floor(F.extract(F.lit("second"), t) * 1000)
+    return let(let(at(local, zone, utc), chosen), millis).cast("bigint")
 
 
 def interpretations(d: Column) -> Column:

@@ -54,11 +54,12 @@ def token_span_to_text(tokens: DataFrame, spans: DataFrame, id: str = "doc_id")
     return joined.groupBy(id, "first", "last").agg(F.min_by("begin", "idx").alias("begin"), F.max_by("end", "idx").alias("end"))
 
 
-def context_window(tokens: DataFrame, n: int, id: str = "doc_id", pad: str = "<PAD>") -> DataFrame:
-    """Values of the n tokens before and after each token, padded."""
-    w = Window.partitionBy(id).orderBy("idx")
-    around = [F.coalesce(F.lag("value", -k).over(w), F.lit(pad)) for k in range(-n, n + 1)]
-    return tokens.select(id, "idx", F.array(*around).alias("window"))
+def context_window(df: DataFrame, n: int, id: str = "doc_id", text: str = "text", pad: str = "<PAD>", separators: str = SPACE) -> DataFrame:
+    """(id, idx, window): each token with the n tokens before and after it, padded; all inside the text's row."""
+    values = F.transform(X.tokens(F.col(text), separators), lambda m: m["text"])
+    padded = F.concat(F.array_repeat(F.lit(pad), n), values, F.array_repeat(F.lit(pad), n))
+    windows = X.let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 2 * n), lambda i: F.slice(p, i, 2 * n + 1)))
+    return df.where(F.col(text).rlike(f"[^{separators}]")).select(id, F.posexplode(windows).alias("idx", "window"))
 
 
 def keep_line(tokens: DataFrame, lines: DataFrame, clicks: DataFrame, id: str = "doc_id") -> DataFrame:

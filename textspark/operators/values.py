@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textspark.functions import text as X
+from textspark.operators.tokens import SPACE
 
 PREFIX, SUFFIX, IGNORED = "$", "%", r".,\[\]()!?"
 UNITS = {"week": 604_800_000, "day": 86_400_000, "hour": 3_600_000, "minute": 60_000, "second": 1_000}
@@ -21,19 +22,19 @@ def number_pattern(prefix: str = PREFIX, suffix: str = SUFFIX) -> str:
     return f"^{_class(prefix)}*([+-]?[0-9]+){_class(suffix)}*$"
 
 
-def find_numbers(tokens: DataFrame, prefix: str = PREFIX, suffix: str = SUFFIX, ignored: str = IGNORED) -> DataFrame:
-    """Add value to tokens that are numbers; the span leaves out ignored, prefix and suffix characters.
+def find_numbers(df: DataFrame, id: str = "doc_id", text: str = "text", prefix: str = PREFIX, suffix: str = SUFFIX, ignored: str = IGNORED, separators: str = SPACE) -> DataFrame:
+    """(id, idx, begin, end, number, text): tokens that are numbers; the span leaves out ignored, prefix and suffix characters.
 
-    Values beyond 64 bits are no numbers.  A token needs a digit.
+    Values beyond 64 bits are no numbers.  A token needs a digit; others don't leave their row.
     """
-    core = F.regexp_replace(F.regexp_replace("value", f"^[{ignored}]+", ""), f"[{ignored}]+$", "")
-    front = X.leading(F.col("value"), ignored)
-    rows = tokens.withColumns({"_core": core, "_front": front}).where(F.col("_core").rlike(number_pattern(prefix, suffix)))
+    numbered = F.transform(X.tokens(F.col(text), separators), lambda m, i: F.struct(i.alias("idx"), m["begin"].alias("begin"), m["text"].alias("value")))
+    rows = df.where(F.col(text).rlike("[0-9]")).select(id, F.explode(F.filter(numbered, lambda m: m["value"].rlike("[0-9]"))).alias("_m"))
+    value = F.col("_m.value")
+    core = F.regexp_replace(F.regexp_replace(value, f"^[{ignored}]+", ""), f"[{ignored}]+$", "")
+    rows = rows.select(id, "_m", core.alias("_core")).where(F.col("_core").rlike(number_pattern(prefix, suffix)))
     digits = F.regexp_extract("_core", number_pattern(prefix, suffix), 1)
-    skip = X.leading(F.col("_core"), _class(prefix)[1:-1])
-    begin = F.col("begin") + F.col("_front") + skip
-    number = digits.try_cast("bigint")
-    return rows.select("doc_id", "idx", begin.alias("begin"), (begin + F.length(digits)).alias("end"), number.alias("number")).where("number IS NOT NULL")
+    begin = F.col("_m.begin") + X.leading(F.col("_m.value"), ignored) + X.leading(F.col("_core"), _class(prefix)[1:-1])
+    return rows.select(id, F.col("_m.idx").alias("idx"), begin.alias("begin"), (begin + F.length(digits)).alias("end"), digits.try_cast("bigint").alias("number"), digits.alias("text")).where("number IS NOT NULL")
 
 
 def classify_number(value: Column, prefix: str = PREFIX, suffix: str = SUFFIX) -> Column:
@@ -41,35 +42,45 @@ def classify_number(value: Column, prefix: str = PREFIX, suffix: str = SUFFIX) -
     return F.when(value.rlike(number_pattern(prefix, suffix)), F.regexp_extract(value, number_pattern(prefix, suffix), 1).try_cast("bigint"))
 
 
+def duration_token(m: Column, ignored: str = ",") -> Column:
+    """A token (begin, end, text) with its kind (Q quantity, H half, U unit, F filler or null), amount and unit_ms."""
+
+    def tagged(core: Column) -> Column:
+        unit = None
+        for name, ms in UNITS.items():
+            unit = F.when(core.isin(name, name + "s"), F.lit(ms)) if unit is None else unit.when(core.isin(name, name + "s"), F.lit(ms))
+        unit = unit.cast("bigint")
+        amount = F.when(core.rlike("^[0-9]{1,9}$"), core.try_cast("bigint"))
+        kind = F.when(unit.isNotNull(), "U").when(amount.isNotNull(), "Q").when(core.isin(*HALF), "H").when(core.isin(*FILLERS), "F")
+        return F.struct(kind.alias("kind"), amount.alias("amount"), unit.alias("unit_ms"), m["begin"].alias("begin"), m["end"].alias("end"), m["text"].alias("value"))
+
+    return X.let(F.lower(F.regexp_replace(F.regexp_replace(m["text"], f"^[{ignored}]+", ""), f"[{ignored}]+$", "")), tagged)
+
+
 def duration_tokens(tokens: DataFrame, ignored: str = ",") -> DataFrame:
-    """Add kind (Q quantity, H half, U unit, F filler or null), amount and unit_ms."""
-    core = F.lower(F.regexp_replace(F.regexp_replace("value", f"^[{ignored}]+", ""), f"[{ignored}]+$", ""))
-    rows = tokens.withColumn("_core", core)
-    unit = None
-    for name, ms in UNITS.items():
-        hit = F.col("_core").isin(name, name + "s")
-        unit = F.when(hit, F.lit(ms)) if unit is None else unit.when(hit, F.lit(ms))
-    unit = unit.cast("bigint")
-    amount = F.when(F.col("_core").rlike("^[0-9]{1,9}$"), F.col("_core").try_cast("bigint"))
-    kind = F.when(unit.isNotNull(), "U").when(amount.isNotNull(), "Q").when(F.col("_core").isin(*HALF), "H").when(F.col("_core").isin(*FILLERS), "F")
-    return rows.withColumns({"kind": kind, "amount": amount, "unit_ms": unit}).drop("_core")
-
-
-def find_durations(tokens: DataFrame, id: str = "doc_id", ignored: str = ",") -> DataFrame:
-    """(id, begin, end, duration_ms): runs of quantities, units and fillers that hold a unit.
+    """Add kind, amount and unit_ms to tokens (value, begin, end): see ``duration_token``."""
+    rows = tokens.withColumn("_k", duration_token(F.struct("begin", "end", F.col("value").alias("text")), ignored))
+    return rows.withColumns({c: F.col(f"_k.{c}") for c in ("kind", "amount", "unit_ms")}).drop("_k")
+
+
+def duration_runs(ignored: str = ",", separators: str = SPACE) -> str:
+    """Pattern of a maximal run of tokens that are quantities, units, halves or fillers."""
+    words = "|".join([*(f"{u}s?" for u in UNITS), *HALF, *FILLERS])
+    token = f"[{ignored}]*(?:[0-9]{{1,9}}|{words})[{ignored}]*(?![^{separators}])"
+    return f"(?i)(?<![^{separators}]){token}(?:[{separators}]+{token})*"
+
+
+def find_durations(df: DataFrame, id: str = "doc_id", text: str = "text", ignored: str = ",", separators: str = SPACE) -> DataFrame:
+    """(id, begin, end, duration_ms, text): runs of quantities, units and fillers that hold a unit.
 
     Reading left to right: a unit takes the quantity before it (1 without one, unless
     there is a half), a half before a unit adds half of that unit, a half after the last
     unit adds half of the last unit.  The span reaches from the first to the last
-    quantity, half or unit.
+    quantity, half or unit.  Runs are found inside the text's row; only they leave it.
     """
-    tagged = duration_tokens(tokens, ignored)
-    w = Window.partitionBy(id).orderBy("idx")
-    run = F.sum(F.when(F.col("kind").isNull() | F.lag("kind").over(w).isNull(), 1).otherwise(0)).over(w)
-    # only tokens of a run are grouped; a run is a short list
-    rows = tagged.withColumn("_run", run).where("kind IS NOT NULL")
-    item = F.struct("idx", "kind", "amount", "unit_ms", "begin", "end", "value")
-    runs = rows.groupBy(id, "_run").agg(F.array_sort(F.collect_list(item)).alias("xs")).where(F.exists("xs", lambda x: x["kind"] == "U"))
+    runs = df.select(id, F.explode(X.find_all(F.col(text), duration_runs(ignored, separators))).alias("_r"))
+    tagged = F.transform(X.tokens(F.col("_r.text"), separators), lambda m: duration_token(m, ignored))
+    runs = runs.select(id, "_r", tagged.alias("xs")).where(F.exists("xs", lambda x: x["kind"] == "U"))
     start = F.struct(F.lit(0).cast("bigint").alias("ms"), F.lit(None).cast("bigint").alias("q"), F.lit(False).alias("half"), F.lit(None).cast("bigint").alias("unit"))
 
     def step(s: Column, x: Column) -> Column:
@@ -86,18 +97,22 @@ def find_durations(tokens: DataFrame, id: str = "doc_id", ignored: str = ",") ->
     total = F.aggregate("xs", start, step, lambda s: (s["ms"] + F.when(s["half"], F.floor(s["unit"] / 2)).otherwise(F.lit(0))).cast("bigint"))
     core = F.filter("xs", lambda x: x["kind"] != "F")
     first, last = F.get(core, F.lit(0)), F.element_at(core, -1)
-    return runs.select(id, (first["begin"] + X.leading(first["value"], ignored)).alias("begin"), (last["end"] - X.trailing(last["value"], ignored)).alias("end"), total.alias("duration_ms"))
+    begin = first["begin"] + X.leading(first["value"], ignored)
+    end = last["end"] - X.trailing(last["value"], ignored)
+    rows = runs.select(id, "_r", begin.alias("_b"), end.alias("_e"), total.alias("duration_ms"))
+    return rows.select(id, (F.col("_r.begin") + F.col("_b")).alias("begin"), (F.col("_r.begin") + F.col("_e")).alias("end"), "duration_ms", X.piece(F.col("_r.text"), F.col("_b"), F.col("_e")).alias("text"))
 
 
-def dictionary_phrases(tokens: DataFrame, phrases: DataFrame, most: int, id: str = "doc_id") -> DataFrame:
+def dictionary_phrases(df: DataFrame, phrases: DataFrame, most: int, id: str = "doc_id", text: str = "text", separators: str = SPACE) -> DataFrame:
     """(id, begin, end, phrase): token sequences that are phrases; ``phrases`` is (phrase), lower case, single spaces.
 
-    A phrase table is joined on its first word, so texts are read once.
+    Each token carries the ``most`` tokens from it on, cut from the array of the text's row,
+    so texts are read once and tokens are moved only if the table of phrases is too large to
+    be sent to them; it is joined on its first word.
     """
-    w = Window.partitionBy(id).orderBy("idx")
-    values = [F.lower("value"), *(F.lower(F.lead("value", k).over(w)) for k in range(1, most))]
-    ends = [F.col("end"), *(F.lead("end", k).over(w) for k in range(1, most))]
-    rows = tokens.select(id, "begin", F.array(*values).alias("vs"), F.array(*ends).alias("es"), F.lower("value").alias("first"))
-    table = phrases.select("phrase", F.split("phrase", " ").alias("ws")).withColumns({"n": F.size("ws"), "first": F.get("ws", F.lit(0))})
-    hits = rows.join(table, "first").where(F.array_join(F.slice("vs", F.lit(1), F.col("n")), " ") == F.col("phrase"))
-    return hits.select(id, "begin", F.element_at("es", F.col("n")).alias("end"), "phrase").where("end IS NOT NULL")
+    lower = F.transform(X.tokens(F.col(text), separators), lambda m: F.struct(m["begin"].alias("begin"), m["end"].alias("end"), F.lower(m["text"]).alias("value")))
+    rows = df.select(id, lower.alias("_ts")).select(id, F.explode(F.transform("_ts", lambda m, i: F.struct(m["value"].alias("first"), F.slice("_ts", i + 1, most).alias("ts")))).alias("_x")).select(id, F.col("_x.first").alias("_first"), F.col("_x.ts").alias("_ts"))
+    table = phrases.select("phrase", F.split("phrase", " ").alias("_ws")).select("phrase", F.size("_ws").alias("_n"), F.get("_ws", F.lit(0)).alias("_first"))
+    same = F.array_join(F.slice(F.transform("_ts", lambda t: t["value"]), F.lit(1), F.col("_n")), " ") == F.col("phrase")
+    hits = rows.join(table, "_first").where((F.size("_ts") >= F.col("_n")) & same)
+    return hits.select(id, F.get("_ts", F.lit(0))["begin"].alias("begin"), F.element_at("_ts", F.col("_n"))["end"].alias("end"), "phrase")

@@ -16,8 +16,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _probable(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return L.softmax(L.scores(L.ngram_counts(docs.select("doc_id", "text")), L.train(docs)), scale=SCALE)
+    return L.softmax(L.self_scores(_docs(spark, d)), scale=SCALE)
 
 
 def langid_trigram_counts(spark: SparkSession, d: str) -> DataFrame:

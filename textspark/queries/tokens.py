@@ -50,7 +50,7 @@ def token_to_span(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_window(spark: SparkSession, d: str) -> DataFrame:
-    found = T.context_window(T.tokenize(_docs(spark, d)), 2)
+    found = T.context_window(_docs(spark, d), 2)
     return found.select("doc_id", "idx", F.array_join("window", " ").alias("context"))
 
 

@@ -21,7 +21,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def number_find_all(spark: SparkSession, d: str) -> DataFrame:
-    return V.find_numbers(T.tokenize(_docs(spark, d)))
+    return V.find_numbers(_docs(spark, d)).drop("text")
 
 
 def number_classify(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +30,7 @@ def number_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duration_find_all(spark: SparkSession, d: str) -> DataFrame:
-    return V.find_durations(T.tokenize(_events(spark, d)))
+    return V.find_durations(_events(spark, d)).drop("text")
 
 
 def duration_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,7 @@ def duration_kinds(spark: SparkSession, d: str) -> DataFrame:
 def dictionary_phrases(spark: SparkSession, d: str) -> DataFrame:
     """The first three words of each benchmark item, searched in all documents."""
     heads = read_table(spark, d, "benchmark").select(F.lower(F.array_join(F.slice(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != ""), 1, 3), " ")).alias("phrase")).where(F.size(F.split("phrase", " ")) == 3).distinct()
-    return V.dictionary_phrases(T.tokenize(_docs(spark, d)), heads, 3)
+    return V.dictionary_phrases(_docs(spark, d), heads, 3)
 
 
 _IG = r"[.,\[\]()!?]"

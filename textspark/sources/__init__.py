@@ -8,9 +8,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than cores are dealt to all cores; others stay where they are read.
+
+    Text expressions cost far more than moving a table that is so small.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder in any store that Spark reads."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
