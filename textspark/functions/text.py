@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def _brackets() -> tuple[tuple[str, str], ...]:
+    """Pairs of brackets by the character database: an opening mark and the closing one of the same name."""
+    names = {unicodedata.name(chr(c), ""): chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Ps", "Pe", "Pi", "Pf", "Sm")}
+    pairs = [("<", ">"), ("‘", "’"), ("“", "”"), ("«", "»")]
+    for name, c in names.items():
+        partner = names.get(name.replace("LEFT", "RIGHT", 1))
+        if "LEFT" in name and unicodedata.category(c) == "Ps" and partner and unicodedata.category(partner) == "Pe":
+            pairs.append((c, partner))
+    return tuple(pairs)
+
+
 #: Bracket pairs that are told apart; opening first.
-BRACKETS = (("(", ")"), ("[", "]"), ("{", "}"), ("<", ">"), ("‘", "’"), ("“", "”"), ("«", "»"), ("〈", "〉"), ("《", "》"), ("「", "」"), ("【", "】"), ("（", "）"))
+BRACKETS = _brackets()
 OPENING, CLOSING = ("".join(x) for x in zip(*BRACKETS))
 
 
@@ -91,6 +103,40 @@ def utf16_index(text: Column, index: Column) -> Column:
     return F.length(front) + F.regexp_count(front, F.lit("[\\x{10000}-\\x{10FFFF}]"))
 
 
+def from_utf16(text: Column, index: Column) -> Column:
+    """Code point offset of a UTF-16 offset; null inside a surrogate pair and beyond the text."""
+    at = F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("u"), F.lit(0).alias("c"), F.lit(None).cast("int").alias("f")), lambda s, ch: F.struct((s["u"] + F.when(ch.rlike("^[\\x{10000}-\\x{10FFFF}]"), 2).when(ch == "", 0).otherwise(1)).alias("u"), (s["c"] + F.length(ch)).alias("c"), F.when(s["u"] == index, s["c"]).otherwise(s["f"]).alias("f")), lambda s: F.when(s["u"] == index, s["c"]).otherwise(s["f"]))
+    return F.when(text == "", F.when(index == 0, 0)).otherwise(at)
+
+
+def parse_integer(text: Column) -> Column:
+    """A whole number in decimal, hexadecimal (0x) or octal (0) form, with sign and leading blanks; null for anything else or beyond 64 bits."""
+    parts = lambda k: F.regexp_extract(text, r"^\s*([+-]?)(0[xX][0-9A-Fa-f]+|0[0-7]*|[1-9][0-9]*)$", k)
+    body = parts(2)
+    base = F.when(body.rlike("^0[xX]"), 16).when(body.rlike("^0[0-7]+$"), 8).otherwise(10)
+    digits = F.regexp_replace(body, "^0[xX]", "")
+    value = F.when(base == 16, F.when(F.length(F.regexp_replace(digits, "^0+", "")) <= 15, F.conv(digits, 16, 10))).when(base == 8, F.when(F.length(F.regexp_replace(digits, "^0+", "")) <= 20, F.conv(digits, 8, 10))).otherwise(digits)
+    return F.when(body != "", F.concat(F.when(parts(1) == "-", "-").otherwise(""), value).try_cast("bigint"))
+
+
+def split_text(text: Column, delimiters: str) -> Column:
+    """Pieces between any of the delimiters, empty ones too; no piece for an empty text."""
+    quoted = "".join("\\" + c if c in "\\^[]-&" else c for c in delimiters)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, f"[{quoted}]", -1))
+
+
+def is_blank(c: Column) -> Column:
+    return c.rlike(r"^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$")
+
+
+def is_digit(c: Column) -> Column:
+    return c.rlike(r"^\p{Nd}+$")
+
+
+def is_upper(c: Column) -> Column:
+    return c.rlike(r"^\p{Lu}+$")
+
+
 def supported_ratio(text: Column, chars: str) -> Column:
     """Share of code points that belong to the class body; null for an empty text."""
     kept = F.length(F.regexp_replace(text, f"[^{chars}]", ""))

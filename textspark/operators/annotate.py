@@ -68,7 +68,7 @@ def select(df: DataFrame, clicks: DataFrame, rules: tuple[S.Rule, ...] = S.PII_R
     best = hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(id, "span_begin", "span_end", "begin", "end")
     rows = c.join(best, [id, "span_begin", "span_end"], "left").join(df.select(id, F.col(text).alias("_t")), id)
     grown = X.strip_brackets(F.col("_t"), F.coalesce("begin", "span_begin"), F.coalesce("end", "span_end"))
-    return rows.select(id, "span_begin", "span_end", grown.alias("s")).select(id, "span_begin", "span_end", "s.begin", "s.end")
+    return rows.select(id, "span_begin", "span_end", grown.alias("_s")).select(id, "span_begin", "span_end", "_s.begin", "_s.end")
 
 
 def classify_durations(selections: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ def best_resource(requests: DataFrame, resources: DataFrame, id: str = "id") ->
     """
     asked = requests.select(id, "place", parse(F.col("tag")).alias("a")).where("a IS NOT NULL")
     held = resources.select(parse(F.col("tag")).alias("r"), F.col("tag").alias("resource"), "content")
-    pairs = asked.join(F.broadcast(held), F.col("a.language") == F.col("r.language"))
+    pairs = asked.join(held, F.col("a.language") == F.col("r.language"))
     part = lambda f, same: F.when(F.col(f"a.{f}") == F.col(f"r.{f}"), same).when(F.col(f"r.{f}") == "", same - 1).otherwise(0)
     ranked = pairs.withColumn("score", part("region", 4) * 10 + part("script", 4))
     order = Window.partitionBy(id).orderBy("place", F.desc("score"), "resource")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = "▁"
@@ -16,6 +16,41 @@ def normalized(text: Column) -> Column:
     return F.concat(F.lit(SPACE), F.regexp_replace(F.trim(F.regexp_replace(text, r"[\x20\t\n\r]+", " ")), " ", SPACE))
 
 
+#: Characters of the private use area that stand for texts while others are still replaced.
+_HOLD = 0xE100
+
+
+def mapped(text: Column, charsmap: dict[str, str]) -> Column:
+    """Every longest key of ``charsmap`` in a text becomes its value; what a value brings in is not replaced again."""
+    keys = sorted(charsmap, key=lambda k: (-len(k), k))
+    out = text
+    for i, k in enumerate(keys):
+        out = F.replace(out, F.lit(k), F.lit(chr(_HOLD + i)))
+    for i, k in enumerate(keys):
+        out = F.replace(out, F.lit(chr(_HOLD + i)), F.lit(charsmap[k]))
+    return out
+
+
+def prefix_matches(df: DataFrame, entries: DataFrame, longest: int, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(id, entry, length, is_longest): entries (entry) of a dictionary that a text begins with, by a join on its prefixes."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text))), lambda n: F.substring(text, F.lit(1), n))
+    rows = df.where(F.length(text) > 0).select(id, F.explode(F.array_distinct(prefixes)).alias("entry")).join(entries.select("entry"), "entry")
+    top = F.max(F.length("entry")).over(Window.partitionBy(id))
+    return rows.select(id, "entry", F.length("entry").alias("length"), (F.length("entry") == top).alias("is_longest"))
+
+
+def encoded_messages(ids: Column, most: int, attributes: Column | None = None) -> Column:
+    """Ids of all messages (an array of arrays) as one array: the last ``most``, filled up with the last id; their places in their message; and an attribute of the message for each.
+
+    ``struct<ids, positions, attributes>``; no message gives zeros.
+    """
+    each = F.flatten(F.transform(ids, lambda xs, m: F.transform(xs, lambda x, i: F.struct(x.alias("id"), i.alias("at"), (F.get(attributes, m) if attributes is not None else F.lit(0)).alias("a")))))
+    last = F.slice(each, F.greatest(F.lit(1), F.size(each) - most + 1), F.lit(most))
+    end = F.coalesce(F.try_element_at(last, F.lit(-1)), F.struct(F.lit(0).alias("id"), F.lit(0).alias("at"), F.lit(0).alias("a")))
+    full = lambda f: F.concat(F.transform(last, lambda x: x[f]), F.array_repeat(end[f], F.lit(most) - F.size(last)))
+    return F.struct(full("id").alias("ids"), full("at").alias("positions"), full("a").alias("attributes"))
+
+
 class Pieces:
     """Best segmentation into scored pieces: the path with the highest sum of scores."""
 
@@ -123,6 +158,53 @@ def reranked(actions: DataFrame, rank: Callable[[list[dict]], list[int]], id: st
     return actions.groupBy(id).applyInPandas(run, schema)
 
 
+def scripted_actions(messages: DataFrame, script: Callable[[list[dict], dict], list[dict]], model: dict | None = None, id: str = "conv_id") -> DataFrame:
+    """(id, ord, type, response, score): what a user's function makes of a conversation's messages (dicts in order) and of ``model`` (plain values).
+
+    An action needs a type; response and score may be left out.
+    """
+    given = dict(model or {})
+
+    def run(table: pa.Table) -> pa.Table:
+        out = script(table.sort_by("turn").to_pylist(), given)
+        if any(not isinstance(a.get("type"), str) for a in out):
+            raise TypeError("an action needs a type")
+        key = table.column(id)[0].as_py()
+        columns = ([key] * len(out), range(len(out)), [a["type"] for a in out], [a.get("response") for a in out], [float(a.get("score", 0.0)) for a in out])
+        types = (table.schema.field(id).type, pa.int64(), pa.string(), pa.string(), pa.float64())
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=[id, "ord", "type", "response", "score"])
+
+    kind = messages.schema[id].dataType.simpleString()
+    return messages.groupBy(id).applyInArrow(run, f"`{id}` {kind}, ord bigint, type string, response string, score double")
+
+
+def scripted_intents(entities: DataFrame, scripts: dict[str, Callable[[dict], list[dict]]], fields: list[str]) -> DataFrame:
+    """Templates (title, action, data, extras) that a user's function for an entity's ``type`` makes of its ``fields``; types without one give none.
+
+    Values of extras are written as text, with their kind in front (``int:3``), so a reader can tell them apart.
+    """
+    from pyspark.sql import types as T
+
+    extra = T.StructType([T.StructField("title", T.StringType()), T.StructField("action", T.StringType()), T.StructField("data", T.StringType()), T.StructField("extras", T.MapType(T.StringType(), T.StringType()))])
+    kept = [f for f in entities.schema.fields if f.name in ("id", "type")]
+    schema = T.StructType([*kept, *extra.fields])
+    names = {bool: "bool", int: "int", float: "double", str: "string"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for entity in batch.to_pylist():
+                for t in scripts[entity["type"]]({f: entity[f] for f in fields}) if entity["type"] in scripts else []:
+                    extras = {k: f"{names[type(v)]}:{str(v).lower() if isinstance(v, bool) else v}" for k, v in t.get("extras", {}).items()}
+                    rows.append((entity["id"], entity["type"], t.get("title"), t.get("action"), t.get("data"), list(extras.items())))
+            types = [batch.schema.field(f.name).type for f in kept] + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string())]
+            order = [f.name for f in kept] + ["title", "action", "data", "extras"]
+            place = {"id": 0, "type": 1, "title": 2, "action": 3, "data": 4, "extras": 5}
+            yield pa.RecordBatch.from_arrays([pa.array([r[place[n]] for r in rows], t) for n, t in zip(order, types)], names=order)
+
+    return entities.mapInArrow(run, schema)
+
+
 # --- templates --------------------------------------------------------------------
 
 
@@ -137,5 +219,25 @@ def intents(entities: DataFrame, templates: DataFrame) -> DataFrame:
     An entity without a template has a row without an action.
     """
     fill = lambda c: F.replace(F.replace(F.col(c), F.lit("{url}"), encoded(F.col("text"))), F.lit("{text}"), F.col("text"))
-    rows = entities.join(F.broadcast(templates), "type", "left")
+    rows = entities.join(templates, "type", "left")
     return rows.select("id", "type", fill("title").alias("title"), "action", fill("data").alias("data"))
+
+
+def simple_intents(entities: DataFrame, configs: DataFrame) -> DataFrame:
+    """Entities (id, type, text, begin_ms, end_ms, package) by configurations (type, action, package, extras map, least_length).
+
+    Values of extras are variables: ``raw``, ``encoded``, ``url`` (with a scheme put in front
+    of one without), ``begin``, ``end`` and ``package``; anything else stands for itself.  A
+    configuration whose condition does not hold (the shortest text) gives nothing.
+    """
+    url = F.when(F.col("text").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("text")).otherwise(F.concat(F.lit("http://"), F.col("text")))
+    values = {"raw": F.col("text"), "encoded": encoded(F.col("text")), "url": url, "begin": F.col("begin_ms").cast("string"), "end": F.col("end_ms").cast("string"), "package": F.col("e.package")}
+
+    def filled(k: Column, v: Column) -> Column:
+        out = v
+        for name, value in values.items():
+            out = F.when(v == name, value).otherwise(out)
+        return out
+
+    rows = entities.alias("e").join(configs.alias("c"), "type").where(F.length("text") >= F.col("least_length"))
+    return rows.select("id", "type", "action", F.col("c.package").alias("package"), F.map_filter(F.transform_values("extras", filled), lambda k, v: v.isNotNull()).alias("extras"))

@@ -20,7 +20,12 @@ OTHER, KNOWLEDGE, DURATION, DATETIME = "OTHER", "KNOWLEDGE", "DURATION", "DATETI
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern that makes candidates; ``group`` is the part that becomes the span."""
+    """A pattern that makes candidates.
+
+    With ``prefix`` or ``suffix`` these are matched around ``pattern`` but are no part of the
+    span; ``fields`` names groups of ``pattern`` (which then has one group for each) whose
+    texts become entity data, beside the fixed ``data``.
+    """
 
     id: int
     collection: str
@@ -30,6 +35,14 @@ class Rule:
     luhn: bool = False
     score: float = 1.0
     source: str = OTHER
+    prefix: str = ""
+    suffix: str = ""
+    fields: tuple[str, ...] = ()
+    data: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def whole(self) -> str:
+        return f"({self.prefix})({self.pattern})({self.suffix})" if self.prefix or self.suffix else self.pattern
 
 
 PII_RULES = (
@@ -49,12 +62,38 @@ def candidates(df: DataFrame, rules: tuple[Rule, ...] = PII_RULES, id: str = "do
     """All matches of all rules that are enabled for ``mode``; one pass over the texts."""
     found = []
     for r in enabled(rules, mode):
-        hits = X.find_all(F.col(text), r.pattern)
+        hits = X.find_all(F.col(text), r.whole)
+        if r.prefix or r.suffix:
+            hits = F.transform(hits, _core(r))
         if r.luhn:
             hits = F.filter(hits, lambda m: X.luhn(m["text"]))
         found.append(F.transform(hits, _labelled(r)))
-    rows = df.select(F.col(id), F.explode(F.concat(*found)).alias("c"))
-    return rows.select(id, "c.*")
+    rows = df.select(F.col(id), F.explode(F.concat(*found)).alias("_c"))
+    return rows.select(id, "_c.*")
+
+
+def _core(r: Rule):
+    """The part of a match between prefix and suffix."""
+
+    def cut(m: Column) -> Column:
+        begin = m["begin"] + F.length(F.regexp_extract(m["text"], r.whole, 1))
+        inner = F.regexp_extract(m["text"], r.whole, 2)
+        return F.struct(begin.alias("begin"), (begin + F.length(inner)).alias("end"), inner.alias("text"))
+
+    return cut
+
+
+def entity_data(df: DataFrame, rules: tuple[Rule, ...], text: str = "text", rule: str = "rule", out: str = "data") -> DataFrame:
+    """Add ``out``: the map of fixed data and of the groups of each span's rule; groups that matched nothing are left out."""
+    found = None
+    for r in rules:
+        if not (r.fields or r.data):
+            continue
+        groups = [F.struct(F.lit(name).alias("key"), F.regexp_extract(text, f"^(?:{r.pattern})$", i + 1).alias("value")) for i, name in enumerate(r.fields)]
+        fixed = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in r.data if k not in r.fields]
+        entries = F.map_from_entries(F.filter(F.array(*fixed, *groups), lambda e: e["value"] != ""))
+        found = F.when(F.col(rule) == r.id, entries) if found is None else found.when(F.col(rule) == r.id, entries)
+    return df.withColumn(out, F.lit(None).cast("map<string,string>") if found is None else found)
 
 
 def _labelled(r: Rule):
@@ -86,14 +125,14 @@ def greedy(df: DataFrame, id: str = "doc_id", raw: bool = False) -> DataFrame:
     item = F.struct((-F.col("priority")).alias("_order"), *fields)
     if "component" not in df.columns:
         df = islands(df, id)
-    grouped = df.groupBy(id, "component").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    grouped = df.groupBy(id, "component").agg(F.array_sort(F.collect_list(item)).alias("_xs"))
 
     def step(acc: Column, x: Column) -> Column:
         clash = F.exists(acc, lambda y: (y["begin"] < x["end"]) & (x["begin"] < y["end"]) & conflicts(x, y, raw))
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
 
-    kept = F.when(F.size("xs") == 1, F.col("xs")).otherwise(F.aggregate("xs", F.slice("xs", 1, 0), step))
-    return grouped.select(id, "component", F.explode(kept).alias("k")).select(id, "component", *(f"k.{f}" for f in fields))
+    kept = F.when(F.size("_xs") == 1, F.col("_xs")).otherwise(F.aggregate("_xs", F.slice("_xs", 1, 0), step))
+    return grouped.select(id, "component", F.explode(kept).alias("_k")).select(id, "component", *(f"_k.{f}" for f in fields))
 
 
 def merged(df: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -104,13 +143,13 @@ def merged(df: DataFrame, id: str = "doc_id") -> DataFrame:
 
 def without_collections(df: DataFrame, dropped: DataFrame) -> DataFrame:
     """Left anti join with a table of collections that are not reported."""
-    return df.join(F.broadcast(dropped), "collection", "left_anti")
+    return df.join(dropped, "collection", "left_anti")
 
 
 def classify_full(df: DataFrame, rules: tuple[Rule, ...], id: str, text: str = "text") -> DataFrame:
     """Every rule that matches a whole text."""
     hits = [F.when(F.col(text).rlike(f"^(?:{r.pattern})$") & (X.luhn(F.col(text)) if r.luhn else F.lit(True)), F.struct(F.lit(r.id).alias("rule"), F.lit(r.collection).alias("collection"), F.lit(r.priority).alias("priority"))) for r in enabled(rules, CLASSIFICATION)]
-    return df.select(id, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("c")).select(id, "c.*")
+    return df.select(id, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("_c")).select(id, "_c.*")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

@@ -7,6 +7,8 @@ Everything is a Column expression; calendars are proleptic Gregorian, time zones
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -172,7 +174,7 @@ def interpretations(d: Column) -> Column:
 def extract(df: DataFrame, id: str = "doc_id", text: str = "text", patterns: tuple = PATTERNS) -> DataFrame:
     """(id, begin, end, pattern, text, data): all matches of all patterns."""
     found = [F.transform(X.find_all(F.col(text), p), _parsed(i, p, groups)) for i, (p, groups) in enumerate(patterns)]
-    return df.select(id, F.explode(F.concat(*found)).alias("c")).select(id, "c.*")
+    return df.select(id, F.explode(F.concat(*found)).alias("_c")).select(id, "_c.*")
 
 
 def _parsed(place: int, pattern: str, groups: tuple[str, ...]) -> Callable[[Column], Column]:
@@ -187,11 +189,19 @@ def _parsed(place: int, pattern: str, groups: tuple[str, ...]) -> Callable[[Colu
 
 
 def longest_first(df: DataFrame, id: str = "doc_id") -> DataFrame:
-    """Drop spans that overlap a longer one that is kept; ties go to the earlier pattern, then the earlier place."""
+    """Drop spans that overlap a longer one that is kept; ties go to the earlier pattern, then the earlier place.
+
+    Spans are split into islands of overlap first, so what is gathered is a short list.
+    """
+    by = Window.partitionBy(id).orderBy("begin", "end", "pattern")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumn("_new", F.coalesce((F.col("begin") >= reach).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     item = F.struct((F.col("begin") - F.col("end")).alias("o"), "pattern", "begin", "end", "text", "data")
-    grouped = df.groupBy(id).agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    grouped = rows.groupBy(id, "_island").agg(F.array_sort(F.collect_list(item)).alias("_xs"))
     step = lambda acc, x: F.when(F.exists(acc, lambda y: (y["begin"] < x["end"]) & (x["begin"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x)))
-    return grouped.select(id, F.explode(F.aggregate("xs", F.slice("xs", 1, 0), step)).alias("k")).select(id, "k.begin", "k.end", "k.pattern", "k.text", "k.data")
+    kept = F.when(F.size("_xs") == 1, F.col("_xs")).otherwise(F.aggregate("_xs", F.slice("_xs", 1, 0), step))
+    return grouped.select(id, F.explode(kept).alias("_k")).select(id, "_k.begin", "_k.end", "_k.pattern", "_k.text", "_k.data")
 
 
 def collection(size: Column) -> Column:
@@ -211,3 +221,92 @@ def expand_locales(requests: DataFrame, defaults: tuple[str, ...], id: str = "id
     rest = requests.select(id, F.posexplode(F.array(*map(F.lit, defaults))).alias("s", "locale")).select(id, F.lit(1_000_000).alias("place"), "s", "locale")
     first = own.unionByName(rest).groupBy(id, "locale").agg(F.min(F.struct("place", "s")).alias("at"))
     return first.withColumn("ord", F.row_number().over(Window.partitionBy(id).orderBy("at")) - 1).select(id, "ord", "locale")
+
+
+# --- rules by locale -----------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class DateRule:
+    """A pattern with the field of each of its groups (``dummy`` for one that is no field), for some locales.
+
+    ``usecases`` and ``modes`` are bits; without ``locales`` a rule holds for ``default``.
+    """
+
+    pattern: str
+    groups: tuple[str, ...]
+    locales: tuple[str, ...] = ("default",)
+    usecases: int = 3
+    modes: int = 7
+
+
+#: What words of a class mean: (field, value) by locale; the first whose pattern occurs counts.
+LEXICON: dict[str, tuple[tuple[int, dict[str, str]], ...]] = {
+    "month": tuple(
+        (i + 1, {"en-*": f"(?i)^{en[:3]}", "de-*": f"(?i)^{de[:3]}"})
+        for i, (en, de) in enumerate(zip(MONTHS, ("januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember")))
+    ),
+    "relation": (
+        (NEXT, {"en-*": "(?i)next", "de-*": "(?i)nächst"}), (LAST, {"en-*": "(?i)last", "de-*": "(?i)letzt"}), (TOMORROW, {"en-*": "(?i)tomorrow", "de-*": "(?i)morgen"}), (YESTERDAY, {"en-*": "(?i)yesterday", "de-*": "(?i)gestern"}),
+        (NOW, {"en-*": "(?i)today|now", "de-*": "(?i)heute|jetzt"}), (PAST, {"en-*": "(?i)ago", "de-*": "(?i)vor"}), (FUTURE, {"en-*": "(?i)in", "de-*": "(?i)in"}),
+    ),
+    "relation_type": (
+        *((i + 1, {"en-*": f"(?i)^{en}(?:[a-z]*day)?$", "de-*": f"(?i)^{de}"}) for i, (en, de) in enumerate(zip(("sun", "mon", "tue", "wed", "thu", "fri", "sat"), ("sonnt", "mont", "dienst", "mittw", "donn", "freit", "samst")))),
+        (R_DAY, {"en-*": "(?i)^day", "de-*": "(?i)^tag"}), (R_WEEK, {"en-*": "(?i)^week", "de-*": "(?i)^woche"}), (R_MONTH, {"en-*": "(?i)^month", "de-*": "(?i)^monat"}), (R_YEAR, {"en-*": "(?i)^year", "de-*": "(?i)^jahr"}),
+        (R_HOUR, {"en-*": "(?i)^hour", "de-*": "(?i)^stunde"}), (R_MINUTE, {"en-*": "(?i)^minute", "de-*": "(?i)^minute"}), (R_SECOND, {"en-*": "(?i)^second", "de-*": "(?i)^sekunde"}),
+    ),
+    "ampm": ((AM, {"en-*": "(?i)^a"}), (PM, {"en-*": "(?i)^p"})),
+}
+
+
+def rules_for(rules: tuple[DateRule, ...], locales: tuple[str, ...], usecase: int = 1, mode: int = 1) -> tuple[DateRule, ...]:
+    """Each rule that holds for one of the locales once, in the order of the locales, then of the rules."""
+    found: list[DateRule] = []
+    for locale in locales:
+        found += [r for r in rules if locale in r.locales and r.usecases & usecase and r.modes & mode and r not in found]
+    return tuple(found)
+
+
+def meaning(kind: str, word: Column, locales: tuple[str, ...]) -> Column:
+    """The value of a word of a class: the first entry one of whose patterns for the locales occurs in it; null without one."""
+    found = None
+    for value, patterns in LEXICON[kind]:
+        used = [patterns[k] for k in locales if k in patterns]
+        if used:
+            hit = reduce(lambda a, b: a | b, (word.rlike(p) for p in used))
+            found = F.when(hit, F.lit(value)) if found is None else found.when(hit, F.lit(value))
+    return F.lit(None).cast("int") if found is None else found
+
+
+def extract_by_locale(df: DataFrame, rules: tuple[DateRule, ...], locales: tuple[str, ...], id: str = "doc_id", text: str = "text", usecase: int = 1, mode: int = 1) -> DataFrame:
+    """(id, begin, end, pattern, text, data): matches of the rules for the locales, words read by their lexicon; ``pattern`` is the place in the order.
+
+    Digits are read as numbers, other words of ``distance`` as written numbers; groups that
+    matched nothing set no field.
+    """
+
+    def field(name: str, part: Column) -> Column:
+        digits = part.try_cast("int")
+        if name == "year":
+            return parse_year(part)
+        if name == "distance":
+            written = written_number(part)
+            return F.coalesce(digits, F.when(written >= 0, written))
+        return F.coalesce(digits, meaning(name, part, locales)) if name in LEXICON else digits
+
+    def parsed(place: int, rule: DateRule) -> Callable[[Column], Column]:
+        def labelled(m: Column) -> Column:
+            part = lambda f: F.nullif(F.regexp_extract(m["text"], rule.pattern, rule.groups.index(f) + 1), F.lit(""))
+            data = parse_data(**{f: field(f, part(f)) for f in rule.groups if f != "dummy"})
+            return F.struct(m["begin"].alias("begin"), m["end"].alias("end"), F.lit(place).alias("pattern"), m["text"].alias("text"), data.alias("data"))
+
+        return labelled
+
+    found = [F.transform(X.find_all(F.col(text), r.pattern), parsed(i, r)) for i, r in enumerate(rules_for(rules, locales, usecase, mode))]
+    return df.select(id, F.explode(F.concat(*found)).alias("_c")).select(id, "_c.*") if found else df.select(id).limit(0)
+
+
+def payload(data: Column, time_ms: Column) -> Column:
+    """What an entity of a date holds: instant, granularity and the fields that were said."""
+    said = F.filter(F.array(*(F.struct(F.lit(f).alias("field"), data[f].alias("value")) for f in FIELDS)), lambda x: x["value"].isNotNull())
+    return F.struct(time_ms.alias("time_ms"), granularity(data).alias("granularity"), said.alias("fields"))

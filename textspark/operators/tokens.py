@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textspark.functions import text as X
@@ -14,7 +16,7 @@ SCRIPTS = (("latin", r"A-Za-zÀ-ɏ"), ("digit", "0-9"), ("hangul", r"가-힯"),
 
 def tokenize(df: DataFrame, id: str = "doc_id", text: str = "text", separators: str = SPACE) -> DataFrame:
     """(id, idx, value, begin, end): maximal runs without separators."""
-    return df.select(id, F.posexplode(X.tokens(F.col(text), separators)).alias("idx", "m")).select(id, "idx", F.col("m.text").alias("value"), F.col("m.begin").alias("begin"), F.col("m.end").alias("end"))
+    return df.select(id, F.posexplode(X.tokens(F.col(text), separators)).alias("idx", "_m")).select(id, "idx", F.col("_m.text").alias("value"), F.col("_m.begin").alias("begin"), F.col("_m.end").alias("end"))
 
 
 def script_pattern(scripts: tuple = SCRIPTS, separators: str = SPACE) -> str:
@@ -78,10 +80,134 @@ def center_token(tokens: DataFrame, clicks: DataFrame, id: str = "doc_id") -> Da
     return agg.select(id, "span_begin", "span_end", F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("outer")).alias("center"))
 
 
-def label_spans(spark, most: int) -> DataFrame:
-    """(label, left, right) with left + right <= most: the selection labels around a click."""
+def label_spans(spark, most: int, full: bool = False) -> DataFrame:
+    """(label, left, right): the selection labels around a click, with left + right <= most, or all up to most with ``full``."""
     sides = F.sequence(F.lit(0), F.lit(most))
-    one = spark.range(1).select(F.explode(sides).alias("left")).select("left", F.explode(F.sequence(F.lit(0), most - F.col("left"))).alias("right"))
-    # label = spans with a smaller left side + place on the right
-    before = F.col("left") * (most + 1) - (F.col("left") * (F.col("left") - 1) / 2).cast("int")
-    return one.select((before + F.col("right")).cast("int").alias("label"), "left", "right")
+    one = spark.range(1).select(F.explode(sides).alias("left")).select("left", F.explode(sides if full else F.sequence(F.lit(0), most - F.col("left"))).alias("right"))
+    return one.select(label_of(F.col("left"), F.col("right"), most, full).alias("label"), "left", "right")
+
+
+def label_of(left: Column, right: Column, most: int, full: bool = False) -> Column:
+    """The label of a span with so many tokens left and right of the click; null if it is too long."""
+    # spans with a smaller left side come before
+    before = left * (most + 1) if full else left * (most + 1) - (left * (left - 1) / 2).cast("int")
+    fits = ((left <= most) & (right <= most)) if full else (left + right <= most)
+    return F.when(fits & (left >= 0) & (right >= 0), (before + right).cast("int"))
+
+
+def span_of_label(label: Column, most: int, full: bool = False) -> Column:
+    """(left, right) of a label, null for one that does not exist."""
+    spans = [(a, b) for a in range(most + 1) for b in range(most + 1 if full else most + 1 - a)]
+    return F.get(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in spans)), label)
+
+
+# --- tokens by ranges of code points ------------------------------------------------
+
+SPLIT_BEFORE, SPLIT_AFTER, DISCARD = 1, 2, 4
+
+
+@dataclass(frozen=True)
+class Range:
+    """Code points first..last (inclusive) with role bits and a script."""
+
+    first: int
+    last: int
+    role: int = 0
+    script: int = 0
+
+
+#: Blanks part tokens and go; ASCII marks stand alone; digits, Latin, Greek and Cyrillic letters and CJK are scripts.
+RANGES = (
+    Range(0x09, 0x0A, 7), Range(0x0D, 0x0D, 7), Range(0x20, 0x20, 7), Range(0x21, 0x2F, 3), Range(0x30, 0x39, 0, 1), Range(0x3A, 0x40, 3), Range(0x41, 0x5A, 0, 2), Range(0x5B, 0x60, 3), Range(0x61, 0x7A, 0, 2), Range(0x7B, 0x7E, 3),
+    Range(0xC0, 0x24F, 0, 2), Range(0x370, 0x3FF, 0, 3), Range(0x400, 0x4FF, 0, 4), Range(0x3040, 0x30FF, 0, 5), Range(0x4E00, 0x9FFF, 3, 6), Range(0xAC00, 0xD7AF, 0, 7),
+)
+
+
+def range_class(ranges: list[Range]) -> str:
+    """Body of a character class."""
+    return "".join(f"\\x{{{r.first:X}}}-\\x{{{r.last:X}}}" for r in ranges)
+
+
+def roles(code_points: DataFrame, ranges: tuple[Range, ...] = RANGES, code: str = "code") -> DataFrame:
+    """Add role and script of code points by a join with the table of ranges; role 0 and script 0 outside all."""
+    spark = code_points.sparkSession
+    table = spark.createDataFrame([(r.first, r.last, r.role, r.script) for r in ranges], "_first int, _last int, role int, script int")
+    rows = code_points.join(table, (F.col(code) >= F.col("_first")) & (F.col(code) <= F.col("_last")), "left").drop("_first", "_last")
+    return rows.withColumns({"role": F.coalesce("role", F.lit(0)), "script": F.coalesce("script", F.lit(0))})
+
+
+def range_tokens(text: Column, ranges: tuple[Range, ...] = RANGES, by_script: bool = True) -> Column:
+    """Tokens ``array<struct<begin,end,text>>`` by the roles of code points.
+
+    A code point may close the token before it, close its own, or be dropped; with
+    ``by_script`` a change of script closes one too.  The end counts kept code points only.
+    """
+    of = lambda bit: [r for r in ranges if r.role & bit]
+    splits = []
+    if of(SPLIT_BEFORE):
+        splits.append(f"(?=[{range_class(of(SPLIT_BEFORE))}])")
+    if of(SPLIT_AFTER):
+        splits.append(f"(?<=[{range_class(of(SPLIT_AFTER))}])")
+    if by_script:
+        groups = {k: range_class([r for r in ranges if r.script == k]) for k in sorted({r.script for r in ranges} - {0})}
+        splits += [f"(?<=[{c}])(?=[^{c}])" for c in groups.values()] + [f"(?<=[^{''.join(groups.values())}])(?=[{''.join(groups.values())}])"]
+    plain = F.translate(text, X.MARK, X.STAND_IN)
+    # a mark before the text stands for its beginning
+    marked = F.concat(F.lit(X.MARK), F.regexp_replace(plain, f"(?!^)(?:{'|'.join(splits)})", X.MARK) if splits else plain)
+
+    def found(chars: Column) -> Column:
+        marks = F.filter(F.transform(chars, lambda c, i: F.when(c == X.MARK, i)), lambda i: i.isNotNull())
+        pairs = F.arrays_zip(marks.alias("i"), F.slice(F.split(marked, X.MARK), F.lit(2), F.size(marks)).alias("p"))
+        return F.transform(pairs, lambda x, j: F.struct((x["i"] - j).alias("b"), (F.regexp_replace(x["p"], f"[{range_class(of(DISCARD))}]", "") if of(DISCARD) else x["p"]).alias("t")))
+
+    kept = F.filter(X.let(F.split(marked, ""), found), lambda x: x["t"] != "")
+    return F.transform(kept, lambda x: F.struct(x["b"].alias("begin"), (x["b"] + F.length(x["t"])).alias("end"), x["t"].alias("text")))
+
+
+# --- arithmetic on token spans [first, last) ----------------------------------------
+
+
+def intersection(a: Column, b: Column) -> Column:
+    """What two token spans (first, last) share; an empty one begins and ends at the larger first."""
+    first = F.greatest(a["first"], b["first"])
+    return F.struct(first.alias("first"), F.greatest(first, F.least(a["last"], b["last"])).alias("last"))
+
+
+def expanded(span: Column, left: Column | int, right: Column | int, size: Column | None = None) -> Column:
+    """A token span with so many tokens more on each side, inside [0, size) if given."""
+    left, right = (x if isinstance(x, Column) else F.lit(x) for x in (left, right))
+    wide = F.struct((span["first"] - left).alias("first"), (span["last"] + right).alias("last"))
+    return wide if size is None else intersection(wide, F.struct(F.lit(0).alias("first"), size.alias("last")))
+
+
+def middle_token(span: Column) -> Column:
+    """The token in the middle of a span; null for an empty one."""
+    return F.when(span["last"] > span["first"], F.floor((span["first"] + span["last"] - 1) / 2).cast("int"))
+
+
+def around(tokens: Column, center: Column, n: int, pad: Column) -> Column:
+    """n tokens on each side of the one at ``center``, padded where the text ends."""
+    return F.transform(F.sequence(center - n, center + n), lambda i: F.when((i >= 0) & (i < F.size(tokens)), F.get(tokens, i)).otherwise(pad))
+
+
+def upto(tokens: Column, span: Column, n: int) -> Column:
+    """The tokens of a span and at most n on each side of it."""
+    wide = expanded(span, n, n, F.size(tokens))
+    return F.slice(tokens, wide["first"] + 1, wide["last"] - wide["first"])
+
+
+def snap_left(text: Column, begin: Column, end: Column, blank: str = r"\s") -> Column:
+    """A selection of blanks alone moves to the last character before them that is none; others stay."""
+    front = F.regexp_replace(F.substring(text, F.lit(1), end.cast("int")), f"[{blank}]+$", "")
+    moves = X.piece(text, begin, end).rlike(f"^[{blank}]+$") & (F.length(front) > 0)
+    return F.struct(F.when(moves, F.length(front) - 1).otherwise(begin).alias("begin"), F.when(moves, F.length(front)).otherwise(end).alias("end"))
+
+
+def label_of_collection(name: Column, collections: tuple[str, ...], default: str = "other") -> Column:
+    """Number of a collection in a list, that of the default for one that is not listed."""
+    at = F.array_position(F.array(*map(F.lit, collections)), name)
+    return F.when(at > 0, at - 1).otherwise(F.lit(collections.index(default) if default in collections else -1)).cast("int")
+
+
+def collection_of_label(label: Column, collections: tuple[str, ...], default: str = "other") -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, collections)), label), F.lit(default))

@@ -80,7 +80,7 @@ def find_durations(df: DataFrame, id: str = "doc_id", text: str = "text", ignore
     """
     runs = df.select(id, F.explode(X.find_all(F.col(text), duration_runs(ignored, separators))).alias("_r"))
     tagged = F.transform(X.tokens(F.col("_r.text"), separators), lambda m: duration_token(m, ignored))
-    runs = runs.select(id, "_r", tagged.alias("xs")).where(F.exists("xs", lambda x: x["kind"] == "U"))
+    runs = runs.select(id, "_r", tagged.alias("_xs")).where(F.exists("_xs", lambda x: x["kind"] == "U"))
     start = F.struct(F.lit(0).cast("bigint").alias("ms"), F.lit(None).cast("bigint").alias("q"), F.lit(False).alias("half"), F.lit(None).cast("bigint").alias("unit"))
 
     def step(s: Column, x: Column) -> Column:
@@ -94,8 +94,8 @@ def find_durations(df: DataFrame, id: str = "doc_id", text: str = "text", ignore
             F.when(is_unit, x["unit_ms"]).otherwise(s["unit"]).alias("unit"),
         )
 
-    total = F.aggregate("xs", start, step, lambda s: (s["ms"] + F.when(s["half"], F.floor(s["unit"] / 2)).otherwise(F.lit(0))).cast("bigint"))
-    core = F.filter("xs", lambda x: x["kind"] != "F")
+    total = F.aggregate("_xs", start, step, lambda s: (s["ms"] + F.when(s["half"], F.floor(s["unit"] / 2)).otherwise(F.lit(0))).cast("bigint"))
+    core = F.filter("_xs", lambda x: x["kind"] != "F")
     first, last = F.get(core, F.lit(0)), F.element_at(core, -1)
     begin = first["begin"] + X.leading(first["value"], ignored)
     end = last["end"] - X.trailing(last["value"], ignored)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textspark.queries import conversations, features, languages, locales, pieces, selections, spans, times, tokens, values
+from textspark.queries import algebra, conversations, features, gathering, languages, locales, networks, pieces, selections, spans, times, tokens, values
 
-MODULES = (spans, tokens, values, times, locales, features, languages, conversations, pieces, selections)
+MODULES = (spans, tokens, values, times, locales, features, languages, conversations, pieces, selections, algebra, networks, gathering)
 
 
 def queries() -> dict:

@@ -86,7 +86,7 @@ def low_confidence_output(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_score(spark: SparkSession, d: str) -> DataFrame:
-    found = C.ngram_score(_messages(spark, d), rule_table(spark, TOKENS, "token string, weight double"), -0.01, 1)
+    found = C.ngram_score(_messages(spark, d), rule_table(spark, TOKENS, "gram string, weight double"), -0.01, 1)
     return found.select("conv_id", "turn", "hits", F.round("score", 6).alias("score"))
 
 

@@ -38,9 +38,11 @@ def duration_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dictionary_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """The first three words of each benchmark item, searched in all documents."""
-    heads = read_table(spark, d, "benchmark").select(F.lower(F.array_join(F.slice(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != ""), 1, 3), " ")).alias("phrase")).where(F.size(F.split("phrase", " ")) == 3).distinct()
-    return V.dictionary_phrases(_docs(spark, d), heads, 3)
+    """Every three words of each benchmark item that follow each other, searched in all documents."""
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")
+    threes = F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.array_join(F.slice("ws", i, F.lit(3)), " "))
+    phrases = read_table(spark, d, "benchmark").select(words.alias("ws")).where(F.size("ws") >= 3).select(F.explode(threes).alias("phrase")).distinct()
+    return V.dictionary_phrases(_docs(spark, d), phrases, 3)
 
 
 _IG = r"[.,\[\]()!?]"
@@ -60,7 +62,7 @@ SELECT doc_id, 11 AS begin, CAST(11 + l + 1 + CASE k WHEN 0 THEN 5 + 11 WHEN 1 T
 CAST(CASE k WHEN 0 THEN n * 3600000 + 1800000 WHEN 1 THEN n * 60000 + 5000 WHEN 2 THEN n * 86400000 + 1800000 ELSE n * 604800000 END AS BIGINT) AS duration_ms FROM p""",
     "duration_kinds": f"""WITH {_EV}, w AS (SELECT rtrim(ltrim(unnest(string_split(text, ' ')), ','), ',') AS w FROM e), c AS (SELECT CASE WHEN regexp_full_match(w, '(week|day|hour|minute|second)s?') THEN 'U' WHEN regexp_full_match(w, '[0-9]+') THEN 'Q' WHEN w = 'half' THEN 'H' WHEN w IN ('and', 'a', 'an', 'one') THEN 'F' END AS kind, TRY_CAST(w AS BIGINT) AS amount FROM w)
 SELECT kind, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amounts FROM c GROUP BY kind""",
-    "dictionary_phrases": f"""WITH {_T}, h AS (SELECT DISTINCT lower(array_to_string(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '')[1:3], ' ')) AS phrase FROM benchmark WHERE len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '')) >= 3),
+    "dictionary_phrases": f"""WITH {_T}, q AS (SELECT list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda w: w <> '') AS ws FROM benchmark), h AS (SELECT DISTINCT array_to_string(ws[i:i + 2], ' ') AS phrase FROM (SELECT ws, unnest(range(1, len(ws) - 1)) AS i FROM q WHERE len(ws) >= 3)),
 v AS (SELECT doc_id, begin, lower(value) || ' ' || lower(lead(value, 1) OVER w) || ' ' || lower(lead(value, 2) OVER w) AS phrase, lead("end", 2) OVER w AS e FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
 SELECT doc_id, begin, e AS "end", phrase FROM v JOIN h USING (phrase) WHERE e IS NOT NULL""",
 }
