@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from textspark.sources import read_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; the path may be in any store that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; the path may be in any store that Spark reads.  One with fewer splits than cores is dealt to all cores."""
+    return read_table(spark, sf_dir, name)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
