@@ -66,13 +66,14 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded = np.concatenate([codes, np.zeros(4, np.uint64)])
     k = np.uint64(0x100000001B3)
     three = (padded[:-4] * k + padded[1:-3]) * k + padded[2:-2]
-    four = three * k + padded[3:-1]
-    five = four * k + padded[4:]
+    # beginnings end with their word, so a word's buckets don't depend on the one after it
+    four = three[starts] * k + np.where(sizes > 3, padded[starts + 3], np.uint64(0))
+    five = four * k + np.where(sizes > 4, padded[starts + 4], np.uint64(0))
     # a word of n letters has n trigrams (n + 2 marked letters), and its beginnings stand in the last two places
     out = mix(three)
     last = starts + sizes - 1
-    out[last - 1] = mix(four[starts] ^ np.uint64(4))
-    out[last] = mix(five[starts] ^ np.uint64(5))
+    out[last - 1] = mix(four ^ np.uint64(4))
+    out[last] = mix(five ^ np.uint64(5))
     return own, out, starts
 
 
