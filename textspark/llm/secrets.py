@@ -10,9 +10,9 @@ The field is trained here, on what the base patterns mark in a bounded sample: o
 ``MARKED`` texts with a base span and ``OTHERS`` texts (those with the smallest hash of
 their id) all windows of the whole texts are drawn from, and the ``AT_MARKS`` windows
 around a mark and ``ELSEWHERE`` other windows with the smallest hash are learnt from,
-however they are spread over the texts.  Neighbours are hidden at random while it learns, so that it
-also knows a secret by its own shape, and tagging is cautious: a span's score must
-beat the score of the same tokens outside by ``CAUTION``.
+however they are spread over the texts.  Neighbours are hidden or exchanged at random
+while it learns, so that it also knows a secret by its own shape, and tagging is
+cautious: a span's score must beat the score of the same tokens outside by ``CAUTION``.
 
 Decoding is exact and skips most tokens: where "outside" leads by more than any two
 transitions can change, the best path is outside whatever the neighbours are, so
@@ -164,6 +164,7 @@ def fit(windows: list[tuple[list[str], list[int], np.ndarray]], steps: int = STE
     for x, i in names.items():
         table[i + 1] = shape(x)
     files = np.array([f for _, _, f in windows])
+    flat = ids[mask]
     pad = np.zeros((len(windows), 2), int)
     wide = np.hstack([pad, ids, pad])
     roles = [wide[:, 2 : 2 + t], wide[:, 1 : 1 + t], wide[:, 0:t], wide[:, 3 : 3 + t]]
@@ -175,9 +176,11 @@ def fit(windows: list[tuple[list[str], list[int], np.ndarray]], steps: int = STE
     np.add.at(gold_moves, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
     lse = lambda x, axis: (top := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - top).sum(axis))
     for step in range(1, steps + 1):
-        hide = [np.ones((len(windows), t, 1)), *((rng.random((len(windows), t, 1)) > 0.4).astype(float) for _ in range(3))]
+        # a neighbour is hidden, or another token stands in its place, so that it does not decide alone
+        hide = [np.ones((len(windows), t, 1)), *((rng.random((len(windows), t, 1)) > 0.3).astype(float) for _ in range(3))]
+        seen = [roles[0], *(np.where(rng.random(ids.shape) < 0.3, flat[rng.integers(0, len(flat), ids.shape)], at) for at in roles[1:])]
         tables = field.emissions(table)
-        e = sum(tables[r][roles[r]] * hide[r] for r in range(4)) + (files @ field.file)[:, None, :]
+        e = sum(tables[r][seen[r]] * hide[r] for r in range(4)) + (files @ field.file)[:, None, :]
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0]
         for k in range(1, t):
@@ -193,13 +196,13 @@ def fit(windows: list[tuple[list[str], list[int], np.ndarray]], steps: int = STE
         rest = (post - one) / len(windows)
         grads = [np.zeros_like(field.roles), np.einsum("bf,btk->fk", files, rest), (expected - gold_moves) / len(windows)]
         for r in range(4):
-            at, g = roles[r].ravel(), (rest * hide[r]).reshape(-1, 3)
+            at, g = seen[r].ravel(), (rest * hide[r]).reshape(-1, 3)
             for k in range(3):
                 by_token = np.bincount(at, weights=g[:, k], minlength=len(table))
                 grads[0][r, :, k] = np.bincount(table.ravel(), weights=np.repeat(by_token, WIDTH), minlength=SPACE)
             grads[0][r, 0] = 0
         for i, (p, g) in enumerate(zip(params, grads)):
-            g = g + 2e-5 * p
+            g = g + 1e-4 * p
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
             p -= 0.15 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
