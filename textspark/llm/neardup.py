@@ -193,7 +193,11 @@ class Forest:
 
 
 def joined(edges: DataFrame) -> DataFrame:
-    """node, component of edges (a, b); each task first reduces its edges to a forest."""
+    """node, component of edges (a, b).
+
+    Each task first reduces about ``FOREST`` edges to stars; the distributed rounds join
+    the stars of all tasks, whatever their number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -205,7 +209,8 @@ def joined(edges: DataFrame) -> DataFrame:
                 forest = Forest()
         yield _links([(x, forest.top(x)) for x in list(forest.up)])
 
-    stars = cut(edges.select("a", "b").mapInArrow(run, "a bigint, b bigint"))
+    tasks = max(1, -(-edges.count() // FOREST))
+    stars = cut(edges.select("a", "b").coalesce(tasks).mapInArrow(run, "a bigint, b bigint"))
     return cut(connected_components(stars, "a", "b").distinct(), stars)
 
 
@@ -558,7 +563,7 @@ def components(documents: DataFrame, id: str = "doc_id", text: str = "text", shi
     # ids with several texts: each of their classes holds the id
     several = named.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("doc_id")
     same = named.select("doc_id", "key").join(several, "doc_id").join(classes.select("key", "rep"), "key").select(F.col("doc_id").cast("long").alias("a"), F.col("rep").alias("b"))
-    found = joined(links(documents, members, id, text, shingle, percent).unionByName(same))
+    found = joined(links(documents, members, id, text, shingle, percent).unionByName(cut(same)))
     named = classes.select(F.col("key").alias("_key"), "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("_key", F.coalesce("component", "rep").alias("component_id"))
     # rows without a set are spread over the partitions of the join by their id
     place = F.coalesce("key", F.col("doc_id").cast("string").cast("binary"))
