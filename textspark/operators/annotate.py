@@ -38,10 +38,22 @@ def candidates(df: DataFrame, rules: tuple[S.Rule, ...] = S.PII_RULES, kinds: tu
     return out
 
 
-def annotate(df: DataFrame, rules: tuple[S.Rule, ...] = S.PII_RULES, kinds: tuple[str, ...] = KINDS, types: tuple[str, ...] = (), raw: bool = False, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, begin, end, collection, priority, text): spans without conflicts; ``types`` filters after the resolution."""
-    kept = S.greedy(S.islands(candidates(df, rules, kinds, id, text), id), id, raw)
+def annotate(
+    df: DataFrame, rules: tuple[S.Rule, ...] = S.PII_RULES, kinds: tuple[str, ...] = KINDS, types: tuple[str, ...] = (), raw: bool = False, id: str = "doc_id", text: str = "text",
+    modes: int = S.ANNOTATION, characters: str = "", least_supported: float = 0.0, filtered: tuple[str, ...] = (), least_priority: float | None = None,
+) -> DataFrame:
+    """(id, begin, end, collection, priority, text): spans without conflicts; ``types`` filters after the resolution.
+
+    Without the bit of annotation in ``modes`` there are none; texts with too few supported
+    ``characters`` (a class body) have none; collections in ``filtered`` and spans below
+    ``least_priority`` are not reported.
+    """
+    rows = df if modes & S.ANNOTATION else df.limit(0)
+    rows = rows.where(X.passes_ratio(F.col(text), characters, least_supported)) if characters else rows
+    kept = S.greedy(S.islands(candidates(rows, rules, kinds, id, text), id), id, raw)
     kept = kept.where(F.col("collection").isin(*types)) if types else kept
+    kept = kept.where(~F.col("collection").isin(*filtered)) if filtered else kept
+    kept = kept.where(F.col("priority") >= least_priority) if least_priority is not None else kept
     return kept.select(id, "begin", "end", "collection", "priority", "text")
 
 
