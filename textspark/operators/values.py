@@ -103,16 +103,18 @@ def find_durations(df: DataFrame, id: str = "doc_id", text: str = "text", ignore
     return rows.select(id, (F.col("_r.begin") + F.col("_b")).alias("begin"), (F.col("_r.begin") + F.col("_e")).alias("end"), "duration_ms", X.piece(F.col("_r.text"), F.col("_b"), F.col("_e")).alias("text"))
 
 
-def dictionary_phrases(df: DataFrame, phrases: DataFrame, most: int, id: str = "doc_id", text: str = "text", separators: str = SPACE) -> DataFrame:
-    """(id, begin, end, phrase): token sequences that are phrases; ``phrases`` is (phrase), lower case, single spaces.
+def dictionary_phrases(df: DataFrame, phrases: DataFrame, lengths: tuple[int, ...], id: str = "doc_id", text: str = "text", separators: str = SPACE) -> DataFrame:
+    """(id, begin, end, phrase): token sequences that are phrases of ``lengths`` words; ``phrases`` is (phrase), lower case, single spaces.
 
-    Each token carries the ``most`` tokens from it on, cut from the array of the text's row,
-    so texts are read once and tokens are moved only if the table of phrases is too large to
-    be sent to them; it is joined on its first word.
+    Sequences are formed in the text's row and joined with the phrases as a whole, so texts
+    are read once; they are moved only if the table of phrases is too large to be sent along.
     """
-    lower = F.transform(X.tokens(F.col(text), separators), lambda m: F.struct(m["begin"].alias("begin"), m["end"].alias("end"), F.lower(m["text"]).alias("value")))
-    rows = df.select(id, lower.alias("_ts")).select(id, F.explode(F.transform("_ts", lambda m, i: F.struct(m["value"].alias("first"), F.slice("_ts", i + 1, most).alias("ts")))).alias("_x")).select(id, F.col("_x.first").alias("_first"), F.col("_x.ts").alias("_ts"))
-    table = phrases.select("phrase", F.split("phrase", " ").alias("_ws")).select("phrase", F.size("_ws").alias("_n"), F.get("_ws", F.lit(0)).alias("_first"))
-    same = F.array_join(F.slice(F.transform("_ts", lambda t: t["value"]), F.lit(1), F.col("_n")), " ") == F.col("phrase")
-    hits = rows.join(table, "_first").where((F.size("_ts") >= F.col("_n")) & same)
-    return hits.select(id, F.get("_ts", F.lit(0))["begin"].alias("begin"), F.element_at("_ts", F.col("_n"))["end"].alias("end"), "phrase")
+    rows = df.select(id, X.tokens(F.col(text), separators).alias("_ts")).select(id, F.transform("_ts", lambda m: F.lower(m["text"])).alias("_vs"), F.transform("_ts", lambda m: m["begin"]).alias("_bs"), F.transform("_ts", lambda m: m["end"]).alias("_es"))
+
+    def sequences(n: int) -> Column:
+        last = F.size("_vs") - n
+        gram = lambda i: F.struct(F.get("_bs", i).alias("begin"), F.get("_es", i + (n - 1)).alias("end"), F.concat_ws(" ", *(F.get("_vs", i + k) for k in range(n))).alias("phrase"))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last)), gram)).otherwise(F.array().cast("array<struct<begin:int,end:int,phrase:string>>"))
+
+    found = rows.select(id, F.explode(F.concat(*map(sequences, lengths))).alias("_x")).select(id, "_x.*")
+    return found.join(phrases.select("phrase").where(F.size(F.split("phrase", " ")).isin(*lengths)).distinct(), "phrase").select(id, "begin", "end", "phrase")

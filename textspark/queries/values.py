@@ -42,7 +42,7 @@ def dictionary_phrases(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")
     threes = F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.array_join(F.slice("ws", i, F.lit(3)), " "))
     phrases = read_table(spark, d, "benchmark").select(words.alias("ws")).where(F.size("ws") >= 3).select(F.explode(threes).alias("phrase")).distinct()
-    return V.dictionary_phrases(_docs(spark, d), phrases, 3)
+    return V.dictionary_phrases(_docs(spark, d), phrases, (3,))
 
 
 _IG = r"[.,\[\]()!?]"
