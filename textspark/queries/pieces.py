@@ -19,7 +19,7 @@ def subword_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subword_encode(spark: SparkSession, d: str) -> DataFrame:
-    """The best path has no SQL form of reasonable cost; tests hold it against brute force."""
+    """Words as pieces; tests also hold the best path against brute force."""
     words = read_table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), r"[ \n]")).alias("word")).where("word <> ''").distinct()
     return P.encode(words, P.Pieces(PIECES, unknown=2, offset=3), "word").select("word", F.array_join("ids", " ").alias("ids"))
 
@@ -55,8 +55,17 @@ def url_intents(spark: SparkSession, d: str) -> DataFrame:
     return P.intents(entities, rule_table(spark, TEMPLATES, "type string, title string, action string, data string"))
 
 
+_PIECE = "MAP {" + ", ".join(f"'{p}': {{'id': {k + 3}, 'sc': CAST({v!r} AS DOUBLE)}}" for k, (p, v) in enumerate(PIECES.items())) + "}"
+_STEP = lambda n: f"CASE WHEN i + 1 >= {n} THEN {{'v': -(s[i + 2 - {n}] + m[substr(word, i + 2 - {n}, {n})].sc), 'o': {3 - n}, 'n': {n}, 'id': m[substr(word, i + 2 - {n}, {n})].id}} END"
+
 QUERIES = {q.__name__: q for q in (subword_normalize, subword_encode, script_verifier, script_ranker, url_intents)}
 SQL = {
+    # best score and ids of each prefix; a longer last piece goes first where scores tie, an unknown character last
+    "subword_encode": f"""WITH RECURSIVE w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \\n]')) AS word FROM documents) WHERE word <> ''),
+b AS (SELECT word, 0 AS i, [CAST(0 AS DOUBLE)] AS s, [CAST([] AS INTEGER[])] AS p FROM w UNION ALL
+SELECT word, i + 1, list_append(s, -x.v), list_append(p, CASE WHEN x.id = 2 AND p[i + 2 - x.n][-1] = 2 THEN p[i + 2 - x.n] ELSE list_append(p[i + 2 - x.n], x.id) END) FROM (
+  SELECT word, i, s, p, list_sort(list_filter([{_STEP(3)}, {_STEP(2)}, {_STEP(1)}, {{'v': -(s[i + 1] - 100), 'o': 3, 'n': 1, 'id': 2}}], lambda c: c IS NOT NULL AND c.v IS NOT NULL))[1] AS x FROM (SELECT *, {_PIECE} AS m FROM b WHERE i < length(word))))
+SELECT word, '0 ' || array_to_string(p[-1], ' ') || ' 1' AS ids FROM b WHERE i = length(word)""",
     "subword_normalize": r"SELECT item_id, '▁' || replace(trim(regexp_replace(text, '[\x20\t\n\r]+', ' ', 'g')), ' ', '▁') AS normalized FROM benchmark",
     "script_verifier": """WITH r AS (SELECT doc_id, m[i] AS t, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS b FROM (SELECT doc_id, m, s, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{13,19}') AS m, regexp_split_to_array(text, '[0-9]{13,19}') AS s FROM documents) WHERE len(m) > 0))
 SELECT doc_id, b AS begin, CAST(b + length(t) AS INTEGER) AS "end", t AS text FROM r WHERE list_sum(list_transform(range(0, length(t)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(t[length(t) - j] AS INTEGER) WHEN CAST(t[length(t) - j] AS INTEGER) > 4 THEN CAST(t[length(t) - j] AS INTEGER) * 2 - 9 ELSE CAST(t[length(t) - j] AS INTEGER) * 2 END)) % 10 = 0""",
