@@ -316,7 +316,12 @@ def train(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Field
     small_batches(documents.sparkSession)
     windows = chosen.mapInArrow(run, "at boolean, hash bigint, w array<string>, t array<int>, f array<double>")
     windows = windows.persist(StorageLevel.MEMORY_AND_DISK)
-    found = [r for at, most in limits.items() for r in windows.where(F.col("at") == at).orderBy("hash", "w").limit(most).collect()]
+    counts = {r["at"]: r["count"] for r in windows.groupBy("at").count().collect()}
+    found = []
+    for at, most in limits.items():
+        # hashes are spread evenly: below this bound lie a few more than are wanted, and only these are sent
+        bound = int(2.0**63 * min(1.0, (most + 8 * math.sqrt(most) + 8) / max(1, counts.get(at, 0))))
+        found += windows.where((F.col("at") == at) & (F.col("hash") < min(bound, (1 << 63) - 1))).orderBy("hash", "w").limit(most).collect()
     windows.unpersist()
     return fit([(list(r["w"]), list(r["t"]), np.array(r["f"])) for r in found]) if found else None
 
