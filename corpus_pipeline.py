@@ -66,8 +66,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, token_ids (packed), round_trip: whether decoding gives the text again."""
-    done = bpe.round_trip(docs.select("doc_id", "source", "text"))
-    return done.select("doc_id", "source", bpe.n_tokens().alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    done = bpe.verified(docs.select("doc_id", "source", "text"), keep=["doc_id", "source"])
+    return done.select("doc_id", "source", bpe.n_tokens().alias("n_tokens"), "token_ids", "round_trip")
 
 
 STAGES = [

@@ -64,6 +64,46 @@ def test_bpe_on_random_texts():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_takes_little_memory_for_repeated_and_for_new_words():
+    import tracemalloc
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghij", k=8))
+    few = [word() for _ in range(1000)]
+    texts = [" ".join(r.choices(few, k=1000)) for _ in range(300)], [" ".join(word() + "," for _ in range(1000)) for _ in range(150)]
+    for part, most in zip(texts, (15, 62)):  # MB
+        known = bpe.Vocabulary(bpe.default_path())
+        tracemalloc.start()
+        found = known.encode(part)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert [known.decode(x) for x in found] == part
+        assert peak < most, peak
+
+
+def test_bpe_in_small_groups_equals_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "FRESH", 3)
+    tok, known, r = Tokenizer.from_file(bpe.default_path()), bpe.Vocabulary(bpe.default_path()), random.Random(8)
+    texts = ["".join(r.choices([*"abstv ,.!\n\u00a0é漢", " the", "'s", "<|endoftext|>"], k=r.randint(0, 40))) for _ in range(1000)]
+    for t, ids in zip(texts, known.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_pipeline_encoding_sends_no_text_back(spark, docs):
+    import corpus_pipeline as p
+
+    docs = docs.withColumn("source", F.lit("a"))
+    done = p.encode_tokens(spark, docs, "")
+    assert done.columns == ["doc_id", "source", "n_tokens", "token_ids", "round_trip"]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    node = next(x for x in plan.splitlines() if "MapInArrow" in x)
+    assert "token_ids" in node and "text" not in node.split("[", 1)[1] and "decoded" not in node, node
+    want = bpe.round_trip(docs).select("doc_id", "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same")).collect()
+    assert sorted(((r["doc_id"], bytes(r["token_ids"]), r["round_trip"]) for r in done.collect()), key=repr) == sorted(((r["doc_id"], bytes(r["token_ids"]), r["same"]) for r in want), key=repr)
+
+
 def test_bpe_digests_of_nothing(none):
     assert bpe.digests(none).count() == 0
 

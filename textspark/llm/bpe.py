@@ -43,6 +43,8 @@ from textspark.llm.common import map_batches
 CACHE = 400_000
 #: Characters that are handled together.
 SLICE = 4_000_000
+#: Chunks not seen before that are learnt together; the text that brings more of them is still read to its end.
+FRESH = 30_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -78,7 +80,6 @@ class Vocabulary:
         for t, i in self.special.items():
             self.tokens[i] = t.encode()
         self.begins = {t[:k] for t in self.ids for k in range(len(t) + 1)}
-        self.states, self.suffix, self.ending, self.goto = {b"": 0}, [b""], [[]], {}
         # rank of the merge that makes a token; single bytes come before all merges
         self.rank = [-1] * len(self.tokens)
         self.parts: list[tuple[int, int] | None] = [None] * len(self.tokens)
@@ -92,8 +93,8 @@ class Vocabulary:
                 self.parts[whole], self.rank[whole] = (a, b), r
         if any(len(t) > 1 and self.rank[i] < 0 for t, i in self.ids.items()):
             raise ValueError("every token must be a byte or made by a merge")
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.states, self.suffix, self.ending, self.goto = {b"": 0}, [b""], [[]], {}
+        self.apart: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.cut = regex.compile(PATTERN)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -105,10 +106,10 @@ class Vocabulary:
         earliest; a merge across the border would have come first if its rank is
         below that of the merge undone last on its side.
         """
-        key = (left, right)
+        key = left * len(self.tokens) + right
         known = self.apart.get(key)
         if known is None:
-            known, (a, b), before = True, key, len(self.rank) + 1
+            known, a, b, before = True, left, right, len(self.rank) + 1
             while True:
                 across = self.merged.get((a, b))
                 if across is not None and across < before:
@@ -138,13 +139,14 @@ class Vocabulary:
         self.goto[state << 8 | byte] = to
         return to
 
-    def learn(self, words: Iterable[bytes]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         """Encode words that are new, by one depth-first walk of their trie."""
-        goto, ending, tokens, apart, keeps, known_words = self.goto.get, self.ending, self.tokens, self.apart.get, self.keeps_apart, self.words
+        goto, ending, tokens, apart, keeps, chunks, n = self.goto.get, self.ending, self.tokens, self.apart.get, self.keeps_apart, self.chunks, len(self.tokens)
         last: list[int] = []  # last token of the encoding of each prefix on the path
         at = [0]  # state of each prefix on the path, the empty one first
         before = b""
-        for word in sorted(words):
+        for name in sorted(words):  # code points and their UTF-8 have the same order
+            word = name.encode()
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
@@ -158,7 +160,7 @@ class Vocabulary:
                     if length > end:  # the prefix is a token, which encodes to itself
                         break
                     left = last[end - length]
-                    known = apart((left, token))
+                    known = apart(left * n + token)
                     if known or known is None and keeps(left, token):
                         break
                 last.append(token)
@@ -171,7 +173,7 @@ class Vocabulary:
             ids = array("I", found)
             if sys.byteorder != "little":
                 ids.byteswap()
-            known_words[word] = ids.tobytes()
+            chunks[name] = ids.tobytes()
             before = word
 
     @staticmethod
@@ -190,38 +192,60 @@ class Vocabulary:
                 out[-1] += " " + p
         return out if out[0] else out[1:]
 
-    def pretokens(self, chunk: str) -> list[bytes]:
+    def pretokens(self, chunk: str) -> list[str]:
         """The pattern's words of a chunk; letters alone, or before one ASCII mark, need no search."""
         body = chunk[1:] if chunk[0] == " " else chunk
         if body.isalpha():
-            return [chunk.encode()]
+            return [chunk]
         if body[-1:] in (".", ",") and body[:-1].isalpha():
-            return [chunk[:-1].encode(), chunk[-1:].encode()]
-        return [w.encode() for w in self.cut.findall(chunk)]
+            return [chunk[:-1], chunk[-1:]]
+        return self.cut.findall(chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        docs: list[list[str | int]] = []
-        chunks = self.chunks
-        for held in (chunks, self.words, self.apart):
-            if len(held) > CACHE:
-                held.clear()
+        out: list[bytes] = []
+        # a document is a list of ids that are known, and of one string for each chunk that is not
+        docs: list[list[str | bytes]] = []
+        fresh: dict[str, str] = {}
+        get, once = self.chunks.get, fresh.setdefault
         for text in texts:
-            doc: list[str | int] = []
+            doc: list[str | bytes] = []
             parts = self.at_special.split(text) if self.at_special and any(s in text for s in self.special) else [text]
             for part in parts:
                 if part in self.special:
-                    doc.append(self.special[part])
+                    doc.append(np.array(self.special[part], "<u4").tobytes())
                 elif part:
-                    doc.extend(self.chunked(" " + part if self.add_space and not part[0].isspace() else part))
+                    doc.extend([get(c) or once(c, c) for c in self.chunked(" " + part if self.add_space and not part[0].isspace() else part)])
             docs.append(doc)
-        fresh = {c for doc in docs for c in doc if c not in chunks and not isinstance(c, int)}
-        cut = {c: self.pretokens(c) for c in fresh}
-        self.learn({w for ws in cut.values() for w in ws if w not in self.words})
-        words = self.words
-        for c, ws in cut.items():
-            chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        return [b"".join([chunks[c] if c.__class__ is str else np.uint32(c).tobytes() for c in doc]) for doc in docs]
+            if len(fresh) > FRESH:
+                out += self.settle(docs, fresh)
+                docs.clear()
+                fresh.clear()
+        return out + self.settle(docs, fresh)
+
+    def settle(self, docs: list[list[str | bytes]], fresh: Iterable[str]) -> list[bytes]:
+        """Ids of whole documents, once the chunks in ``fresh`` are learnt.
+
+        One dictionary holds chunks and words: the pattern leaves each of its words whole, so
+        a chunk that equals a word has the ids of that word.
+        """
+        chunks = self.chunks
+        words, several = set(), {}
+        for c in fresh:
+            found = self.pretokens(c)
+            if len(found) == 1:
+                words.add(c)
+            else:
+                several[c] = found
+                words.update([w for w in found if w not in chunks])
+        self.learn(words)
+        for c, found in several.items():
+            chunks[c] = b"".join([chunks[w] for w in found])
+        out = [b"".join([chunks[c] if c.__class__ is str else c for c in doc]) for doc in docs]
+        for held in (chunks, self.apart):
+            if len(held) > CACHE:
+                held.clear()
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Bytes that are no UTF-8 become U+FFFD; unknown ids are left out."""
@@ -300,6 +324,23 @@ def round_trip(df: DataFrame, text: str = "text", path: str | None = None, ids:
     return map_batches(df, make, [T.StructField(ids, T.BinaryType()), T.StructField(out, T.StringType())])
 
 
+def verified(df: DataFrame, text: str = "text", path: str | None = None, ids: str = "token_ids", out: str = "round_trip", keep: list[str] | None = None) -> DataFrame:
+    """``encode``, and whether ``decode`` gives the text again; only this answer leaves the worker, not the decoded text."""
+    find = shipped(df, path)
+
+    def make():
+        known = find()
+
+        def run(batch: pa.RecordBatch) -> list:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            packed = [x for part in slices(texts) for x in known.encode(part)]
+            return [packed, [known.decode(x) == t for x, t in zip(packed, texts, strict=True)]]
+
+        return run
+
+    return map_batches(df, make, [T.StructField(ids, T.BinaryType()), T.StructField(out, T.BooleanType())], keep)
+
+
 def n_tokens(ids: str = "token_ids") -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 

@@ -128,7 +128,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
             function = function or make()
             columns = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(function(batch), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *columns], names=[*names, *(f.name for f in fields)])
-        function = None
+        function = batch = columns = None
         release()
 
     return df.mapInArrow(run, schema)
