@@ -52,14 +52,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes in full, at most two.
 
     Of the document at which the budget ends only a part would be taken, so that copy goes.
-    Rows without an id carry their columns through the mix; the others, of which the stage
-    before keeps one for each id, join by id.
+    Inside a source the mix takes documents in the order of their shuffle key, so for each
+    source and number of copies the last one taken tells which are: rows with an id, of
+    which the stage before keeps one for each, are compared with it where they are, and no
+    text is shuffled.  Rows without an id carry their columns through the mix.
     """
-    row, copies, copy = (fresh(docs, n) for n in ("_row", "_copies", "_copy"))
-    mixed = mixing.mix(docs.withColumn(row, F.when(F.col("doc_id").isNull(), F.struct(*docs.columns))), keep=(row,)).where("taken > 0")
-    mixed = mixed.select("doc_id", row, F.floor(F.col("taken") / F.col("size")).cast("int").alias(copies)).where(F.col(copies) > 0)
-    taken = cut(mixed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(copies).alias(copies)))
-    named = docs.join(taken, "doc_id").select(*docs.columns, copies)
+    row, key, copies, copy, group, ends = (fresh(docs, n) for n in ("_row", "_key", "_copies", "_copy", "_group", "_ends"))
+    placed = docs.withColumn(key, F.struct(mixing.shuffle_key("doc_id", "text").alias("key"), F.col("doc_id").alias("id")))
+    mixed = mixing.mix(placed.withColumn(row, F.when(F.col("doc_id").isNull(), F.struct(*docs.columns))).withColumn(group, F.col("source")), keep=(row, key, group)).where("taken > 0")
+    mixed = mixed.select("doc_id", row, key, group, F.floor(F.col("taken") / F.col("size")).cast("int").alias(copies)).where(F.col(copies) > 0)
+    last = [F.max(F.when(F.col(copies) >= c, F.col(key))).alias(f"c{c}") for c in range(1, mixing.MOST + 1)]
+    taken = cut(mixed.where("doc_id IS NOT NULL").groupBy(group).agg(F.struct(*last).alias(ends)))
+    named = placed.where("doc_id IS NOT NULL").join(taken, F.col("source").eqNullSafe(F.col(group)))
+    counts = sum((F.when(F.col(key) <= F.col(ends)[f"c{c}"], 1).otherwise(0) for c in range(1, mixing.MOST + 1)), F.lit(0))
+    named = named.where(mixing.words() > 0).select(*docs.columns, counts.alias(copies)).where(F.col(copies) > 0)
     unnamed = mixed.where("doc_id IS NULL").select(f"{row}.*", copies)
     return named.unionByName(unnamed).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 

@@ -472,3 +472,25 @@ def test_pipeline_stages_equal_plain_programs(spark, tmp_path):
     for r in p.encode_tokens(spark, fourth, sf).dropDuplicates(["doc_id"]).collect():
         assert np.frombuffer(bytes(r["token_ids"]), "<u4").tolist() == tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["round_trip"]
 
+
+
+def test_pipeline_mixing_shuffles_no_text(spark):
+    """With and without ids and sources: documents meet one row for each source, not one for each id."""
+    import corpus_pipeline as p
+
+    r = random.Random(12)
+    rows = [(i if i % 9 else None, prose(i, r.randint(0, 30)) if i % 13 else None, "en", [None, "a", "b", "c"][i % 4], 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = p.mix_sources(spark, docs, "")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("doc_id" in x.split("Join", 1)[1] for x in plan.splitlines() if "Join" in x), plan
+    got = [tuple(x) for x in found.collect()]
+    con = duckdb.connect()
+    docs.select("doc_id", "text", "source").toPandas().astype({"doc_id": "Int64"}).pipe(lambda d: con.register("documents", d))
+    want = defaultdict(int)
+    for i, s, _, _, t in con.execute(mixing.SQL).fetchall():
+        want[i] += t // s if s else 0
+    count = defaultdict(int)
+    for x in got:
+        count[x[0]] += 1
+    assert dict(count) == {i: n for i, n in want.items() if n}

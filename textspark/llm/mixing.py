@@ -52,6 +52,12 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def shuffle_key(id: str = "doc_id", text: str = "text") -> Column:
+    """What documents of a source are ordered by before all else."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(part(id), F.lit(" "), part(text)).cast("binary"))
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Add ``turn`` (place of the source) and ``target`` to rows (source, source_size)."""
     by_name = Window.orderBy(F.col("source").isNull(), "source")
@@ -70,8 +76,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 def mix(documents: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the columns in ``keep``."""
-    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    shuffled = F.md5(F.concat(part(id), F.lit(" "), part(text)).cast("binary"))
+    shuffled = shuffle_key(id, text)
     narrow = cut(documents.select(F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(text).alias("size"), shuffled.alias("key"), *keep))
     rows = narrow.count()
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
