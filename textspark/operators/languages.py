@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textspark.functions import text as X
+
 #: One-byte characters that are no letters part words; others never do.
 APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCRIPTS = {"latin": r"[A-Za-zÀ-ɏ]", "greek": r"[Ͱ-Ͽ]", "cyrillic": r"[Ѐ-ӿ]", "hebrew": r"[֐-׿]", "arabic": r"[؀-ۿ]", "kana": r"[぀-ヿ]", "cjk": r"[一-鿿]", "hangul": r"[가-힯]"}
@@ -38,10 +40,21 @@ def ngram_counts(df: DataFrame, id: str = "doc_id", text: str = "text", n: int =
 
 
 def script_shares(text: Column) -> Column:
-    """Share of each script among the characters that belong to one, as a map."""
-    counts = [F.regexp_count(text, F.lit(p)) for p in SCRIPTS.values()]
-    total = sum(counts[1:], counts[0])
-    return F.map_from_arrays(F.array(*map(F.lit, SCRIPTS)), F.array(*(F.when(total > 0, c / total).otherwise(F.lit(0.0)) for c in counts)))
+    """Share of each script among the characters that belong to one, as a map.
+
+    Scripts share no character.  Latin letters are counted in the whole text, the others in
+    what is left of it without the characters up to the last Latin one; every count is made once.
+    """
+    (_, latin), *others = SCRIPTS.items()
+    left = F.regexp_replace(text, "[\\x00-ɏ]+", "")
+    without = lambda t, p: F.length(t) - F.length(F.regexp_replace(t, p + "+", ""))
+    counts = X.let(left, lambda t: F.array(without(text, latin), *(F.when(F.length(t) > 0, without(t, p)).otherwise(F.length(t)) for _, p in others)))
+
+    def shares(ns: Column) -> Column:
+        total = F.aggregate(ns, F.lit(0), lambda a, n: a + n)
+        return X.let(total, lambda n: F.map_from_arrays(F.array(*map(F.lit, SCRIPTS)), F.array(*(F.when(n > 0, F.get(ns, F.lit(i)) / n).otherwise(F.lit(0.0)) for i in range(len(SCRIPTS))))))
+
+    return X.let(counts, shares)
 
 
 def _by_gram(df: DataFrame, lang: str, id: str, text: str) -> tuple[DataFrame, list[str]]:
