@@ -140,22 +140,49 @@ def verified(spans: DataFrame, check: Callable[[str, int, int, str], bool], cont
     return spans.mapInArrow(run, spans.schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], id: str) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows that come sorted by ``id`` as tables of whole groups, with the (begin, end) of each group; no group is parted."""
+    held: list[pa.RecordBatch] = []
+    last = held  # equals no key
+    for batch in batches:
+        keys = ["nan" if k != k else k for k in batch.column(batch.schema.get_field_index(id)).to_pylist()]
+        begins = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else last)]
+        if begins:
+            before = sum(b.num_rows for b in held)
+            edges = [0] * (before > 0) + [before + i for i in begins]
+            if edges[-1]:
+                yield pa.Table.from_batches([*held, batch.slice(0, begins[-1])]), list(zip(edges, edges[1:]))
+            held = []
+        if keys:
+            held.append(batch.slice(begins[-1] if begins else 0))
+            last = keys[-1]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, [(0, table.num_rows)]
+
+
 def reranked(actions: DataFrame, rank: Callable[[list[dict]], list[int]], id: str = "conv_id") -> DataFrame:
-    """Actions of each conversation in the order that a user's function gives: places from 0, some may be left out or repeated."""
+    """Actions of each conversation in the order that a user's function gives: places from 0, some may be left out or repeated.
+
+    Rows are dealt and sorted by conversation; a worker gets many conversations in a batch.
+    """
     from pyspark.sql import types as T
 
     schema = T.StructType([*actions.schema.fields, T.StructField("new_place", T.IntegerType())])
 
-    def run(rows):
-        items = rows.sort_values("place").to_dict("records")
-        order = rank(items)
-        if any(not 0 <= i < len(items) for i in order):
-            raise IndexError("a ranker returned a place that does not exist")
-        out = rows.sort_values("place").iloc[order].copy()
-        out["new_place"] = range(len(order))
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in whole_groups(batches, id):
+            rows, taken, places = table.to_pylist(), [], []
+            for begin, end in groups:
+                order = rank(rows[begin:end])
+                if any(not 0 <= i < end - begin for i in order):
+                    raise IndexError("a ranker returned a place that does not exist")
+                taken += [begin + i for i in order]
+                places += range(len(order))
+            out = table.take(pa.array(taken, pa.int64())).append_column("new_place", pa.array(places, pa.int32()))
+            yield from out.combine_chunks().to_batches()
 
-    return actions.groupBy(id).applyInPandas(run, schema)
+    return actions.repartition(id).sortWithinPartitions(id, F.asc_nulls_last("place")).mapInArrow(run, schema)
 
 
 def scripted_actions(messages: DataFrame, script: Callable[[list[dict], dict], list[dict]], model: dict | None = None, id: str = "conv_id") -> DataFrame:
@@ -165,17 +192,19 @@ def scripted_actions(messages: DataFrame, script: Callable[[list[dict], dict], l
     """
     given = dict(model or {})
 
-    def run(table: pa.Table) -> pa.Table:
-        out = script(table.sort_by("turn").to_pylist(), given)
-        if any(not isinstance(a.get("type"), str) for a in out):
-            raise TypeError("an action needs a type")
-        key = table.column(id)[0].as_py()
-        columns = ([key] * len(out), range(len(out)), [a["type"] for a in out], [a.get("response") for a in out], [float(a.get("score", 0.0)) for a in out])
-        types = (table.schema.field(id).type, pa.int64(), pa.string(), pa.string(), pa.float64())
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=[id, "ord", "type", "response", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in whole_groups(batches, id):
+            rows, found = table.to_pylist(), []
+            for begin, end in groups:
+                out = script(rows[begin:end], given)
+                if any(not isinstance(a.get("type"), str) for a in out):
+                    raise TypeError("an action needs a type")
+                found += [(rows[begin][id], i, a["type"], a.get("response"), float(a.get("score", 0.0))) for i, a in enumerate(out)]
+            types = (table.schema.field(id).type, pa.int64(), pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(types)], names=[id, "ord", "type", "response", "score"])
 
     kind = messages.schema[id].dataType.simpleString()
-    return messages.groupBy(id).applyInArrow(run, f"`{id}` {kind}, ord bigint, type string, response string, score double")
+    return messages.repartition(id).sortWithinPartitions(id, F.asc_nulls_last("turn")).mapInArrow(run, f"`{id}` {kind}, ord bigint, type string, response string, score double")
 
 
 def scripted_intents(entities: DataFrame, scripts: dict[str, Callable[[dict], list[dict]]], fields: list[str]) -> DataFrame:
