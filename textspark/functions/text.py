@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textspark.functions import runs as R
+
 def _brackets() -> tuple[tuple[str, str], ...]:
     """Pairs of brackets by the character database: an opening mark and the closing one of the same name."""
     names = {unicodedata.name(chr(c), ""): chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Ps", "Pe", "Pi", "Pf", "Sm")}
@@ -41,20 +43,44 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def find_all(text: Column, pattern: str) -> Column:
     """All matches as ``array<struct<begin,end,text>>``; the pattern must not match the empty text.
 
-    Offsets count code points.  A mark is put in front of every match, and the places of the
-    marks among the characters, less the marks before, are the places of the matches; so the
-    time is linear in the text however many matches it has.  Texts without a match cost one
-    search.  (A mark that the text itself holds counts as a character that is none.)
+    Offsets count code points.  A mark is put in front of every match; the lengths of the
+    pieces between the marks, summed up, are the places of the matches, so work is done for
+    each match and not for each character.  Texts without a match cost one search.  (A mark
+    that the text itself holds counts as a character that is none.)
     """
     plain = F.translate(text, MARK, STAND_IN)
 
-    def found(chars: Column) -> Column:
-        marks = F.filter(F.transform(chars, lambda c, i: F.when(c == MARK, i)), lambda i: i.isNotNull())
-        pairs = F.arrays_zip(marks.alias("i"), F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)).alias("m"))
-        return F.transform(pairs, lambda x, j: F.struct((x["i"] - j).alias("begin"), (x["i"] - j + F.length(x["m"])).alias("end"), x["m"].alias("text")))
+    def found(begins: Column) -> Column:
+        pairs = F.arrays_zip(begins.alias("i"), F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)).alias("m"))
+        return F.transform(pairs, lambda x: F.struct(x["i"].alias("begin"), (x["i"] + F.length(x["m"])).alias("end"), x["m"].alias("text")))
 
     none = F.array().cast("array<struct<begin:int,end:int,text:string>>")
-    return F.when(text.rlike(pattern), let(F.split(F.regexp_replace(plain, pattern, MARK + "$0"), ""), found)).when(text.isNotNull(), none)
+    # the lengths of what stands before each mark; what is behind the last one isn't needed
+    pieces = F.transform(F.split(F.regexp_replace(plain, pattern, MARK + "$0"), MARK), lambda p: F.length(p))
+    lengths = let(pieces, lambda ns: F.slice(ns, F.lit(1), F.size(ns) - 1))
+    return F.when(text.rlike(pattern), let(let(lengths, running), found)).when(text.isNotNull(), none)
+
+
+#: Elements of an array that are summed in one go.
+BLOCK = 64
+
+
+def running(ns: Column) -> Column:
+    """The sums up to each element of an array of integers.
+
+    Appending to an array copies it, so sums are appended inside blocks and to the list of
+    blocks only: time is linear for arrays of up to the square of a block, and nearly so beyond.
+    """
+    zero = F.array(F.lit(0))
+    add = lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ns) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(ns, b * BLOCK + 1, F.lit(BLOCK)), zero, add))
+
+    def joined(bs: Column) -> Column:
+        before = F.aggregate(bs, zero, lambda sums, b: add(sums, F.element_at(b, -1)))
+        return let(before, lambda fs: F.flatten(F.transform(bs, lambda b, i: let(F.get(fs, i), lambda f: F.transform(F.slice(b, F.lit(2), F.size(b) - 1), lambda n: n + f)))))
+
+    few = let(F.aggregate(ns, zero, add), lambda sums: F.slice(sums, F.lit(2), F.size(ns)))
+    return F.when(F.size(ns) <= BLOCK, few).otherwise(let(blocks, joined))
 
 
 def characters(text: Column) -> Column:
@@ -63,8 +89,25 @@ def characters(text: Column) -> Column:
 
 
 def tokens(text: Column, separators: str) -> Column:
-    """Maximal runs without separators (a character class body) as ``array<struct<begin,end,text>>``, in linear time."""
-    return find_all(text, f"[^{separators}]+")
+    """Maximal runs without separators (a character class body) as ``array<struct<begin,end,text>>``, in linear time.
+
+    Classes of characters and ranges are looked up for whole batches of texts, others are patterns.
+    """
+    ranges = R.members(separators)
+    return find_all(text, f"[^{separators}]+") if ranges is None else R.tokens(text, ranges)
+
+
+def find_nth(text: Column, pattern: str, n: Column) -> Column:
+    """The match number ``n`` (from 0) of a pattern as ``struct<begin,end,text>``, null without it; what comes after it isn't searched."""
+    n = n.cast("int")
+
+    def found(parts: Column) -> Column:
+        rest = F.when(n == 0, text).otherwise(F.get(F.split(text, pattern, n + 1), n))
+        begin = F.length(text) - F.length(rest) + F.length(F.get(parts, n))
+        end = F.length(text) - F.length(F.get(parts, n + 1))
+        return F.when(F.size(parts) == n + 2, let(F.struct(begin.alias("begin"), end.alias("end")), lambda x: F.struct(x["begin"], x["end"], piece(text, x["begin"], x["end"]).alias("text"))))
+
+    return let(F.split(text, pattern, n + 2), found)
 
 
 def leading(s: Column, chars: str) -> Column:
@@ -76,9 +119,12 @@ def trailing(s: Column, chars: str) -> Column:
     return F.length(s) - F.length(F.regexp_replace(s, f"[{chars}]+$", ""))
 
 
-def strip_boundary(text: Column, begin: Column, end: Column, chars: str) -> Column:
-    """The span without ignored characters at its ends; ``(begin, begin)`` if nothing is left."""
-    s = piece(text, begin, end)
+def strip_boundary(text: Column, begin: Column, end: Column, chars: str, span: Column | None = None) -> Column:
+    """The span without ignored characters at its ends; ``(begin, begin)`` if nothing is left.
+
+    ``span`` is the text of the span where it is at hand, which saves the search for it.
+    """
+    s = piece(text, begin, end) if span is None else span
     front, back = leading(s, chars), trailing(s, chars)
     empty = front >= F.length(s)
     return F.struct(F.when(empty, begin).otherwise(begin + front).alias("begin"), F.when(empty, begin).otherwise(end - back).alias("end"))
@@ -105,8 +151,15 @@ def utf16_index(text: Column, index: Column) -> Column:
 
 def from_utf16(text: Column, index: Column) -> Column:
     """Code point offset of a UTF-16 offset; null inside a surrogate pair and beyond the text."""
-    at = F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("u"), F.lit(0).alias("c"), F.lit(None).cast("int").alias("f")), lambda s, ch: F.struct((s["u"] + F.when(ch.rlike("^[\\x{10000}-\\x{10FFFF}]"), 2).when(ch == "", 0).otherwise(1)).alias("u"), (s["c"] + F.length(ch)).alias("c"), F.when(s["u"] == index, s["c"]).otherwise(s["f"]).alias("f")), lambda s: F.when(s["u"] == index, s["c"]).otherwise(s["f"]))
-    return F.when(text == "", F.when(index == 0, 0)).otherwise(at)
+    # a mark behind each character of two units stands for its second one
+    near = F.substring(F.translate(text, MARK, STAND_IN), F.lit(1), F.least(index, F.lit(2**31 - 2)) + 1)
+
+    def found(wide: Column) -> Column:
+        front = F.substring(wide, F.lit(1), index)
+        fits = (index >= 0) & (F.length(front) == index) & (F.substring(wide, F.least(index, F.lit(2**31 - 2)) + 1, F.lit(1)) != MARK)
+        return F.when(fits, F.length(F.replace(front, F.lit(MARK), F.lit(""))))
+
+    return let(F.regexp_replace(near, "[\\x{10000}-\\x{10FFFF}]", "$0" + MARK), found)
 
 
 def parse_integer(text: Column) -> Column:

@@ -40,7 +40,7 @@ def valid_span(text: Column, begin: Column, end: Column, inside: bool = True) ->
 
 def classified(collection: Column, selection: Column, tags: Column, limits: Limits) -> Column:
     """The collection after the gates: phone digits, tokens, languages of dictionary words and filters; ``other`` where one fails."""
-    tokens = F.size(X.tokens(selection, T.SPACE))
+    tokens = F.regexp_count(selection, F.lit(f"[^{T.SPACE}]+"))
     digits = F.regexp_count(selection, F.lit("[0-9]"))
     known = L.supported(tags, list(limits.dictionary_locales), False)
     bad = (

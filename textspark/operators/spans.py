@@ -125,7 +125,7 @@ def greedy(df: DataFrame, id: str = "doc_id", raw: bool = False) -> DataFrame:
     item = F.struct((-F.col("priority")).alias("_order"), *fields)
     if "component" not in df.columns:
         df = islands(df, id)
-    grouped = df.groupBy(id, "component").agg(F.array_sort(F.collect_list(item)).alias("_xs"))
+    grouped = df.groupBy(id, "component").agg(F.sort_array(F.collect_list(item)).alias("_xs"))
 
     def step(acc: Column, x: Column) -> Column:
         clash = F.exists(acc, lambda y: (y["begin"] < x["end"]) & (x["begin"] < y["end"]) & conflicts(x, y, raw))

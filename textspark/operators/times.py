@@ -198,7 +198,7 @@ def longest_first(df: DataFrame, id: str = "doc_id") -> DataFrame:
     rows = df.withColumn("_new", F.coalesce((F.col("begin") >= reach).cast("int"), F.lit(1)))
     rows = rows.withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     item = F.struct((F.col("begin") - F.col("end")).alias("o"), "pattern", "begin", "end", "text", "data")
-    grouped = rows.groupBy(id, "_island").agg(F.array_sort(F.collect_list(item)).alias("_xs"))
+    grouped = rows.groupBy(id, "_island").agg(F.sort_array(F.collect_list(item)).alias("_xs"))
     step = lambda acc, x: F.when(F.exists(acc, lambda y: (y["begin"] < x["end"]) & (x["begin"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x)))
     kept = F.when(F.size("_xs") == 1, F.col("_xs")).otherwise(F.aggregate("_xs", F.slice("_xs", 1, 0), step))
     return grouped.select(id, F.explode(kept).alias("_k")).select(id, "_k.begin", "_k.end", "_k.pattern", "_k.text", "_k.data")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textspark.functions import runs as R
 from textspark.functions import text as X
 
 SPACE = r"\x20\t\n\r"
@@ -27,6 +28,10 @@ def script_pattern(scripts: tuple = SCRIPTS, separators: str = SPACE) -> str:
 
 def tokenize_scripts(df: DataFrame, id: str = "doc_id", text: str = "text", scripts: tuple = SCRIPTS, separators: str = SPACE) -> DataFrame:
     """Like ``tokenize``, but a change of script splits too."""
+    apart, *classes = (R.members(b) for b in (separators, *(b for _, b in scripts)))
+    if apart is not None and None not in classes and R.disjoint(apart, *classes):
+        rows = df.select(id, F.explode(R.class_tokens(F.col(text), tuple(classes), apart)).alias("_m"))
+        return rows.select(id, "_m.idx", "_m.part", F.col("_m.text").alias("value"), "_m.begin", "_m.end")
     words = tokenize(df, id, text, separators)
     parts = words.select(id, "idx", "begin", F.posexplode(X.find_all(F.col("value"), script_pattern(scripts, separators))).alias("part", "m"))
     return parts.select(id, "idx", "part", F.col("m.text").alias("value"), (F.col("begin") + F.col("m.begin")).alias("begin"), (F.col("begin") + F.col("m.end")).alias("end"))
@@ -58,10 +63,14 @@ def token_span_to_text(tokens: DataFrame, spans: DataFrame, id: str = "doc_id")
 
 def context_window(df: DataFrame, n: int, id: str = "doc_id", text: str = "text", pad: str = "<PAD>", separators: str = SPACE) -> DataFrame:
     """(id, idx, window): each token with the n tokens before and after it, padded; all inside the text's row."""
+    rows = df.where(F.col(text).rlike(f"[^{separators}]"))
+    ranges = R.members(separators)
+    if ranges is not None:
+        return rows.select(id, F.posexplode(R.windows(F.col(text), ranges, n, pad)).alias("idx", "window"))
     values = F.transform(X.tokens(F.col(text), separators), lambda m: m["text"])
     padded = F.concat(F.array_repeat(F.lit(pad), n), values, F.array_repeat(F.lit(pad), n))
     windows = X.let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 2 * n), lambda i: F.slice(p, i, 2 * n + 1)))
-    return df.where(F.col(text).rlike(f"[^{separators}]")).select(id, F.posexplode(windows).alias("idx", "window"))
+    return rows.select(id, F.posexplode(windows).alias("idx", "window"))
 
 
 def keep_line(tokens: DataFrame, lines: DataFrame, clicks: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -142,26 +151,10 @@ def range_tokens(text: Column, ranges: tuple[Range, ...] = RANGES, by_script: bo
     A code point may close the token before it, close its own, or be dropped; with
     ``by_script`` a change of script closes one too.  The end counts kept code points only.
     """
-    of = lambda bit: [r for r in ranges if r.role & bit]
-    splits = []
-    if of(SPLIT_BEFORE):
-        splits.append(f"(?=[{range_class(of(SPLIT_BEFORE))}])")
-    if of(SPLIT_AFTER):
-        splits.append(f"(?<=[{range_class(of(SPLIT_AFTER))}])")
-    if by_script:
-        groups = {k: range_class([r for r in ranges if r.script == k]) for k in sorted({r.script for r in ranges} - {0})}
-        splits += [f"(?<=[{c}])(?=[^{c}])" for c in groups.values()] + [f"(?<=[^{''.join(groups.values())}])(?=[{''.join(groups.values())}])"]
-    plain = F.translate(text, X.MARK, X.STAND_IN)
-    # a mark before the text stands for its beginning
-    marked = F.concat(F.lit(X.MARK), F.regexp_replace(plain, f"(?!^)(?:{'|'.join(splits)})", X.MARK) if splits else plain)
-
-    def found(chars: Column) -> Column:
-        marks = F.filter(F.transform(chars, lambda c, i: F.when(c == X.MARK, i)), lambda i: i.isNotNull())
-        pairs = F.arrays_zip(marks.alias("i"), F.slice(F.split(marked, X.MARK), F.lit(2), F.size(marks)).alias("p"))
-        return F.transform(pairs, lambda x, j: F.struct((x["i"] - j).alias("b"), (F.regexp_replace(x["p"], f"[{range_class(of(DISCARD))}]", "") if of(DISCARD) else x["p"]).alias("t")))
-
-    kept = F.filter(X.let(F.split(marked, ""), found), lambda x: x["t"] != "")
-    return F.transform(kept, lambda x: F.struct(x["b"].alias("begin"), (x["b"] + F.length(x["t"])).alias("end"), x["t"].alias("text")))
+    numbers = sorted({r.script for r in ranges} - {0}) if by_script else []
+    groups = [numbers[i : i + 60] for i in range(0, len(numbers), 60)]
+    scripts = [[(r.first, r.last, (1 << 61) | (1 << group.index(r.script) if r.script in group else 0)) for r in ranges if r.script] for group in groups]
+    return R.role_tokens(text, [(r.first, r.last, r.role) for r in ranges], scripts)
 
 
 # --- arithmetic on token spans [first, last) ----------------------------------------

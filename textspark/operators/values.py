@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textspark.functions import runs as R
 from textspark.functions import text as X
 from textspark.operators.tokens import SPACE
 
@@ -109,6 +110,11 @@ def dictionary_phrases(df: DataFrame, phrases: DataFrame, lengths: tuple[int, ..
     Sequences are formed in the text's row and joined with the phrases as a whole, so texts
     are read once; they are moved only if the table of phrases is too large to be sent along.
     """
+    wanted = phrases.select("phrase").where(F.size(F.split("phrase", " ")).isin(*lengths)).distinct()
+    ranges = R.members(separators)
+    if ranges is not None:
+        found = df.select(id, F.explode(R.sequences(F.col(text), ranges, lengths)).alias("_x")).select(id, "_x.begin", "_x.end", F.lower("_x.text").alias("phrase"))
+        return found.join(wanted, "phrase").select(id, "begin", "end", "phrase")
     rows = df.select(id, X.tokens(F.col(text), separators).alias("_ts")).select(id, F.transform("_ts", lambda m: F.lower(m["text"])).alias("_vs"), F.transform("_ts", lambda m: m["begin"]).alias("_bs"), F.transform("_ts", lambda m: m["end"]).alias("_es"))
 
     def sequences(n: int) -> Column:
@@ -117,4 +123,4 @@ def dictionary_phrases(df: DataFrame, phrases: DataFrame, lengths: tuple[int, ..
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last)), gram)).otherwise(F.array().cast("array<struct<begin:int,end:int,phrase:string>>"))
 
     found = rows.select(id, F.explode(F.concat(*map(sequences, lengths))).alias("_x")).select(id, "_x.*")
-    return found.join(phrases.select("phrase").where(F.size(F.split("phrase", " ")).isin(*lengths)).distinct(), "phrase").select(id, "begin", "end", "phrase")
+    return found.join(wanted, "phrase").select(id, "begin", "end", "phrase")

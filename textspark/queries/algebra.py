@@ -50,7 +50,7 @@ def token_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def snap_left(spark: SparkSession, d: str) -> DataFrame:
     """A click on a blank, or two, somewhere in each text."""
-    hits = _docs(spark, d).select("doc_id", "text", F.get(X.find_all(F.col("text"), r"[ \n]+"), (F.col("doc_id") % 5).cast("int")).alias("m")).where("m IS NOT NULL")
+    hits = _docs(spark, d).select("doc_id", "text", X.find_nth(F.col("text"), r"[ \n]+", (F.col("doc_id") % 5).cast("int")).alias("m")).where("m IS NOT NULL")
     s = T.snap_left(F.col("text"), F.col("m.begin"), F.col("m.end"))
     return hits.select("doc_id", F.col("m.begin").alias("begin"), s["begin"].alias("new_begin"), s["end"].alias("new_end"))
 

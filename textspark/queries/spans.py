@@ -73,9 +73,9 @@ def strip_brackets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strip_boundary(spark: SparkSession, d: str) -> DataFrame:
-    hits = _docs(spark, d).select("doc_id", "text", F.explode(X.tokens(F.col("text"), r" \t\n\r")).alias("m"))
+    hits = _docs(spark, d).select("doc_id", F.explode(X.tokens(F.col("text"), r" \t\n\r")).alias("m"))
     hits = hits.where(F.col("m.text").rlike("[.,!*%&$#]"))
-    s = X.strip_boundary(F.col("text"), F.col("m.begin"), F.col("m.end"), ".,!*%&$#")
+    s = X.strip_boundary(F.lit(None), F.col("m.begin"), F.col("m.end"), ".,!*%&$#", F.col("m.text"))
     return hits.select("doc_id", F.col("m.begin").alias("begin"), F.col("m.end").alias("end"), s["begin"].alias("new_begin"), s["end"].alias("new_end"))
 
 

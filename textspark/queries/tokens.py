@@ -17,7 +17,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 def _clicks(spark: SparkSession, d: str) -> DataFrame:
     """A click on the first number of each text."""
-    first = F.get(X.find_all(F.col("text"), "[0-9]+"), F.lit(0))
+    first = X.find_nth(F.col("text"), "[0-9]+", F.lit(0))
     return _docs(spark, d).select("doc_id", first.alias("m")).where("m IS NOT NULL").select("doc_id", F.col("m.begin").alias("span_begin"), F.col("m.end").alias("span_end"))
 
 
