@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -116,6 +116,114 @@ def by_batch(text: Column, found: Callable[[Batch], tuple[np.ndarray, pa.StructA
     return F.arrow_udf(run, kind)(text)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], id: str) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows that come sorted by ``id`` as tables of whole groups, with the (begin, end) of each group; no group is parted."""
+    held: list[pa.RecordBatch] = []
+    last = held  # equals no key
+    for batch in batches:
+        keys = ["nan" if k != k else k for k in batch.column(batch.schema.get_field_index(id)).to_pylist()]
+        begins = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else last)]
+        if begins:
+            before = sum(b.num_rows for b in held)
+            edges = [0] * (before > 0) + [before + i for i in begins]
+            if edges[-1]:
+                yield pa.Table.from_batches([*held, batch.slice(0, begins[-1])]), list(zip(edges, edges[1:]))
+            held = []
+        if keys:
+            held.append(batch.slice(begins[-1] if begins else 0))
+            last = keys[-1]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, [(0, table.num_rows)]
+
+
+def _grams(texts: pa.Array, owner: np.ndarray, apart: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(owner, n-gram, count) for the owners of the texts, from 0: n-grams of words ``^word$``, which ``apart`` parts; a shorter word is its own."""
+    batch = Batch(texts)
+    inside = apart[batch.codes] == 0
+    first = inside & (batch.firsts() | changes(inside))
+    begins = np.flatnonzero(first)
+    if not len(begins):
+        return np.zeros(0, int), pa.array([], pa.string()), np.zeros(0, int)
+    length = np.bincount(np.cumsum(first)[inside] - 1)
+    # the words one after the other, each between its marks
+    edges = np.append(0, np.cumsum(length + 2))
+    marked, letter = np.zeros(edges[-1] + n, np.int64), np.zeros(edges[-1] + n, bool)
+    letter[: edges[-1]] = True
+    letter[edges[:-1]] = letter[edges[1:] - 1] = False
+    marked[edges[:-1]], marked[edges[1:] - 1], marked[letter] = ord("^"), ord("$"), batch.codes[inside]
+    each = np.maximum(1, length + 3 - n)
+    word = np.repeat(np.arange(len(begins)), each)
+    start = np.arange(len(word)) + np.repeat(edges[:-1] - (np.cumsum(each) - each), each)
+    codes = lambda start, word, k: np.where(start + k < edges[word + 1], marked[start + k], 0)
+    key = np.zeros(len(word), np.int64)
+    for k in range(n):
+        # 21 bits for each code point; what is beyond three of them is numbered anew
+        key = (np.unique(key, return_inverse=True)[1] if k > 2 else key) << 21 | codes(start, word, k)
+    known = pc.dictionary_encode(pa.array(key))
+    at, size = known.indices.to_numpy(), len(known.dictionary)
+    some = np.zeros(size, int)
+    some[at] = np.arange(len(at))
+    grams = np.stack([codes(start[some], word[some], k) for k in range(n)], 1).astype("<u4").view(f"<U{n}")[:, 0]
+    found, counts = np.unique(owner[np.searchsorted(batch.docs, begins, "right") - 1][word] * size + at, return_counts=True)
+    return found // size, pa.array(grams.tolist(), pa.string()).take(pa.array(found % size)), counts
+
+
+def gram_counts(df: DataFrame, id: str, apart: tuple[tuple[int, int], ...], n: int) -> DataFrame:
+    """(id, gram, n, weight) of rows (id, text): how often each n-gram occurs in the texts of an id, and its share of these."""
+    held, (_, text) = lookup([(*r, 1) for r in apart]), df.columns
+    names = [id, "gram", "n", "weight"]
+
+    def rows(keys: pa.Array, whose: np.ndarray, grams: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        share = counts / np.bincount(whose, counts, len(keys))[whose]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(whose)), grams, pa.array(counts, pa.int64()), pa.array(share, pa.float64())], names=names)
+
+    def summed(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        if len(parts) == 1:
+            return parts[0]
+        sums = pa.table({"g": pa.concat_arrays([g for g, _ in parts]), "n": np.concatenate([c for _, c in parts])}).group_by("g").aggregate([("n", "sum")]).combine_chunks()
+        return sums.column("g").combine_chunks(), sums.column("n_sum").to_numpy()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what is known of the id of the last row: its texts may go on
+        parts: list[tuple[pa.Array, np.ndarray]] = []
+        key = last = None
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            sizes = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()))
+            begin = 0
+            while begin < len(texts):
+                end = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + AT_ONCE, "right")) - 1)
+                keys = batch.column(batch.schema.get_field_index(id)).slice(begin, end - begin)
+                values = ["nan" if k != k else k for k in keys.to_pylist()]
+                new = np.array([i > 0 and values[i] != values[i - 1] for i in range(len(values))])
+                owner = np.cumsum(new)
+                whose, grams, counts = _grams(texts.slice(begin, end - begin), owner, held(), n)
+                firsts = keys.take(pa.array(np.append(0, np.flatnonzero(new))))
+                if parts and values[0] != last:
+                    if len(parts[0][0]):
+                        yield rows(key, np.zeros(len(parts[0][0]), int), *parts[0])
+                    parts = []
+                # rows of the first id, of those that are complete, and of the last one
+                one, rest = np.searchsorted(whose, [1, owner[-1]]) if owner[-1] else (0, 0)
+                if owner[-1]:
+                    parts.append((grams.slice(0, one), counts[:one]))
+                    whole = summed(parts)
+                    if len(whole[0]):
+                        yield rows(firsts.slice(0, 1), np.zeros(len(whole[0]), int), *whole)
+                    if rest > one:
+                        yield rows(firsts, whose[one:rest], grams.slice(one, rest - one), counts[one:rest])
+                    parts = []
+                parts = [summed([*parts, (grams.slice(rest), counts[rest:])])]
+                key, last, begin = firsts.slice(len(firsts) - 1), values[-1], end
+        if parts and len(parts[0][0]):
+            yield rows(key, np.zeros(len(parts[0][0]), int), *parts[0])
+
+    small_batches()
+    schema = T.StructType([df.schema[id], *(T.StructField(k, t) for k, t in zip(names[1:], (T.StringType(), T.LongType(), T.DoubleType())))])
+    return df.repartition(id).sortWithinPartitions(id).mapInArrow(run, schema)
+
+
 #: Rows and bytes of an Arrow batch; texts are wide, and a worker holds its batch and what it makes of it.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "32m"}
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textspark.functions import runs as R
 from textspark.functions import text as X
 
 #: One-byte characters that are no letters part words; others never do.
 APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+APART_RANGES = ((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 SCRIPTS = {"latin": r"[A-Za-zÀ-ɏ]", "greek": r"[Ͱ-Ͽ]", "cyrillic": r"[Ѐ-ӿ]", "hebrew": r"[֐-׿]", "arabic": r"[؀-ۿ]", "kana": r"[぀-ヿ]", "cjk": r"[一-鿿]", "hangul": r"[가-힯]"}
 THRESHOLD = 0.5
 UNKNOWN = "und"
@@ -31,12 +33,11 @@ def ngrams(word: Column, n: int = 3) -> Column:
 def ngram_counts(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
     """(id, gram, n, weight): how often each n-gram occurs, and its share of the text's n-grams.
 
-    Texts are dealt by id once; words are counted before their n-grams are formed, so a
-    repeated word costs one row, and all counting stays in that partitioning.
+    Texts are dealt by id once and sorted, so that texts that share an id are neighbours;
+    n-grams are counted for batches of them.  What a task holds is a batch and the n-grams of
+    one id, never those of all its texts.
     """
-    by_word = df.select(id, text).repartition(id).select(id, F.explode(words(F.lower(text))).alias("_w")).groupBy(id, "_w").agg(F.count("*").alias("_c"))
-    counts = by_word.select(id, "_c", F.explode(ngrams(F.col("_w"), n)).alias("gram")).groupBy(id, "gram").agg(F.sum("_c").alias("n"))
-    return counts.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy(id)))
+    return R.gram_counts(df.select(id, F.lower(text).alias("_t")), id, APART_RANGES, n)
 
 
 def script_shares(text: Column) -> Column:
@@ -81,21 +82,49 @@ def train(df: DataFrame, lang: str = "lang", id: str = "doc_id", text: str = "te
     return weights.select("gram", F.explode(pairs).alias("x")).select("gram", F.col("x.n").alias(lang), F.col("x.w").alias("weight"))
 
 
+#: Bytes of an n-gram's row of weights besides those of the weights, and of all weights that are sent to every task.
+ROW, SENT = 64, 128 * 2**20
+
+
+def _scored(counts: DataFrame, by_gram: DataFrame, names: list, id: str, lang: str) -> DataFrame:
+    """Scores by (gram, ws, cs): for each language the sum of a gram's weights in ten-thousandths, and their number.
+
+    The table of weights is made once and counted.  A usual one is sent along; only one that
+    is too large for that is joined by a shuffle of all n-grams.
+    """
+    by_gram = by_gram.persist()
+    small = by_gram.count() * (ROW + 24 * len(names)) <= SENT
+    hits = counts.select(id, "gram", "n").join(F.broadcast(by_gram) if small else by_gram, "gram")
+    at = range(len(names))
+    sums = [x for i in at for x in (F.sum(F.col("n") * F.get("ws", F.lit(i))).alias(f"_w{i}"), F.sum(F.col("n") * F.get("cs", F.lit(i))).alias(f"_c{i}"))]
+    per_text = hits.groupBy(id).agg(*sums) if names else hits.select(id).limit(0)
+    found = F.array(*(F.when(F.col(f"_c{i}") > 0, F.struct(F.lit(name).alias(lang), F.round(F.col(f"_w{i}") / 10_000 / F.col(f"_c{i}"), 4).alias("score"))) for i, name in enumerate(names)))
+    none = F.array().cast(f"array<struct<`{lang}`:string,score:double>>")
+    return per_text.select(id, F.explode(F.filter(found, lambda x: x.isNotNull()) if names else none).alias("_x")).select(id, f"_x.{lang}", "_x.score")
+
+
+def _units(weight: Column) -> Column:
+    """A weight, rounded to four places, in ten-thousandths: whole numbers, whose sums don't depend on their order."""
+    return (weight.cast("decimal(12,4)") * 10_000).cast("bigint")
+
+
 def scores(counts: DataFrame, weights: DataFrame, id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """(id, lang, score): mean weight of a text's n-grams, rounded to 4 places."""
-    hits = counts.select(id, "gram", "n").join(weights, "gram")
-    mean = F.sum(F.col("n") * F.col("weight").cast("decimal(12,4)")).cast("double") / F.sum("n")
-    return hits.groupBy(id, lang).agg(F.round(mean, 4).alias("score"))
+    """(id, lang, score): mean weight of a text's n-grams, rounded to 4 places.
+
+    Only the names of the languages reach the driver; a gram's weights are one row.
+    """
+    names = sorted((r[0] for r in weights.select(lang).distinct().collect()), key=lambda x: (x is not None, x))
+    one = lambda name, value: F.coalesce(F.sum(F.when(F.col(lang).eqNullSafe(F.lit(name)), value)), F.lit(0))
+    units = _units(F.col("weight"))
+    by_gram = weights.groupBy("gram").agg(F.array(*(one(x, units) for x in names)).alias("ws"), F.array(*(one(x, F.lit(1)) for x in names)).alias("cs"))
+    return _scored(counts, by_gram, names, id, lang)
 
 
 def self_scores(df: DataFrame, lang: str = "lang", id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``scores`` of the texts that the weights are learned from: one row for each gram is joined, not one for each language too."""
+    """``scores`` of the texts that the weights are learned from: their table is taken as it is made, one row for each gram."""
     weights, names = _by_gram(df, lang, id, text)
-    hits = ngram_counts(df, id, text).select(id, "gram", "n").join(weights, "gram")
-    sums = [F.sum(F.col("n") * F.get("w", F.lit(i)).cast("decimal(12,4)")).cast("double").alias(f"_s{i}") for i in range(len(names))]
-    per_text = hits.groupBy(id).agg(F.sum("n").alias("_n"), *sums)
-    pairs = F.array(*(F.struct(F.lit(name).alias(lang), F.round(F.col(f"_s{i}") / F.col("_n"), 4).alias("score")) for i, name in enumerate(names)))
-    return per_text.select(id, F.explode(pairs).alias("_x")).select(id, f"_x.{lang}", "_x.score")
+    by_gram = weights.select("gram", F.transform("w", _units).alias("ws"), F.array_repeat(F.lit(1).cast("bigint"), len(names)).alias("cs"))
+    return _scored(ngram_counts(df, id, text), by_gram, names, id, lang)
 
 
 def softmax(scored: DataFrame, id: str = "doc_id", scale: float = 1.0) -> DataFrame:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textspark.functions.runs import whole_groups
+
 SPACE = "▁"
 
 
@@ -140,27 +142,6 @@ def verified(spans: DataFrame, check: Callable[[str, int, int, str], bool], cont
     return spans.mapInArrow(run, spans.schema)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], id: str) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
-    """Rows that come sorted by ``id`` as tables of whole groups, with the (begin, end) of each group; no group is parted."""
-    held: list[pa.RecordBatch] = []
-    last = held  # equals no key
-    for batch in batches:
-        keys = ["nan" if k != k else k for k in batch.column(batch.schema.get_field_index(id)).to_pylist()]
-        begins = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else last)]
-        if begins:
-            before = sum(b.num_rows for b in held)
-            edges = [0] * (before > 0) + [before + i for i in begins]
-            if edges[-1]:
-                yield pa.Table.from_batches([*held, batch.slice(0, begins[-1])]), list(zip(edges, edges[1:]))
-            held = []
-        if keys:
-            held.append(batch.slice(begins[-1] if begins else 0))
-            last = keys[-1]
-    if held:
-        table = pa.Table.from_batches(held)
-        yield table, [(0, table.num_rows)]
-
-
 def reranked(actions: DataFrame, rank: Callable[[list[dict]], list[int]], id: str = "conv_id") -> DataFrame:
     """Actions of each conversation in the order that a user's function gives: places from 0, some may be left out or repeated.
 

@@ -33,8 +33,7 @@ def langid_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def langid_scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return L.scores(L.ngram_counts(docs.select("doc_id", "text")), L.train(docs))
+    return L.self_scores(_docs(spark, d))
 
 
 def langid_top1_threshold(spark: SparkSession, d: str) -> DataFrame:
