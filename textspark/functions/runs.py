@@ -252,6 +252,26 @@ def tokens(text: Column, separators: tuple[tuple[int, int], ...]) -> Column:
     return by_batch(text, _tokens_of(separators), SPANS)
 
 
+def tokens_with(text: Column, separators: tuple[tuple[int, int], ...], wanted: tuple[tuple[int, int], ...]) -> Column:
+    """Those of ``tokens`` that hold a code point of ``wanted``, with their number ``idx`` among all."""
+    bits = lookup([(*r, 1) for r in separators] + [(*r, 2) for r in wanted])
+
+    def found(batch: Batch) -> tuple[np.ndarray, pa.StructArray]:
+        bit = bits()[batch.codes]
+        inside = bit & 1 == 0
+        begins = batch.firsts() | changes(inside)
+        nth = np.append(0, np.cumsum(begins & inside))
+        run = np.cumsum(begins) - 1
+        holds = np.bincount(run, inside & (bit & 2 > 0), minlength=1) > 0
+
+        def number(starts: np.ndarray) -> list[tuple[str, np.ndarray]]:
+            return [("idx", nth[starts + 1] - nth[batch.docs[np.searchsorted(batch.docs, starts, "right") - 1]] - 1)]
+
+        return batch.cut(begins, inside & holds[run], number)
+
+    return by_batch(text, found, T.ArrayType(T.StructType([PARTS.elementType.fields[0], *SPANS.elementType.fields])))
+
+
 def windows(text: Column, separators: tuple[tuple[int, int], ...], n: int, pad: str) -> Column:
     """For each token the array of n tokens before it, itself and n after it; ``pad`` where the text ends."""
     tokens_of = _tokens_of(separators)

@@ -31,8 +31,8 @@ def piece(text: Column, begin: Column, end: Column) -> Column:
     return F.substring(text, (begin + 1).cast("int"), (end - begin).cast("int"))
 
 
-#: A character of the private use area that marks where matches begin.
-MARK, STAND_IN = "\ue000", "\ufffd"
+#: Characters of the private use area that mark where matches begin and end.
+MARK, CLOSE, STAND_IN = "\ue000", "\ue001", "\ufffd"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -43,22 +43,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def find_all(text: Column, pattern: str) -> Column:
     """All matches as ``array<struct<begin,end,text>>``; the pattern must not match the empty text.
 
-    Offsets count code points.  A mark is put in front of every match; the lengths of the
-    pieces between the marks, summed up, are the places of the matches, so work is done for
-    each match and not for each character.  Texts without a match cost one search.  (A mark
-    that the text itself holds counts as a character that is none.)
+    Offsets count code points.  Every match is put between two marks in one search; the
+    lengths of the pieces, summed up, are the places of the matches, so further work is done
+    for each match and not for each character.  (A mark that the text itself holds counts as
+    a character that is none.)
     """
-    plain = F.translate(text, MARK, STAND_IN)
+    marked = F.regexp_replace(F.translate(text, MARK + CLOSE, STAND_IN * 2), pattern, MARK + "$0" + CLOSE)
 
-    def found(begins: Column) -> Column:
-        pairs = F.arrays_zip(begins.alias("i"), F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)).alias("m"))
-        return F.transform(pairs, lambda x: F.struct(x["i"].alias("begin"), (x["i"] + F.length(x["m"])).alias("end"), x["m"].alias("text")))
+    def found(pieces: Column) -> Column:
+        # what stands before the first mark, and from each mark to the next without the marks; what is behind the last one isn't needed
+        lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
+        matches = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, CLOSE, 1))
+        spans = let(lengths, running)
+        return F.when(F.size(pieces) > 1, F.transform(F.arrays_zip(spans.alias("i"), matches.alias("m")), lambda x: F.struct(x["i"].alias("begin"), (x["i"] + F.length(x["m"])).alias("end"), x["m"].alias("text")))).otherwise(F.array().cast("array<struct<begin:int,end:int,text:string>>"))
 
-    none = F.array().cast("array<struct<begin:int,end:int,text:string>>")
-    # the lengths of what stands before each mark; what is behind the last one isn't needed
-    pieces = F.transform(F.split(F.regexp_replace(plain, pattern, MARK + "$0"), MARK), lambda p: F.length(p))
-    lengths = let(pieces, lambda ns: F.slice(ns, F.lit(1), F.size(ns) - 1))
-    return F.when(text.rlike(pattern), let(let(lengths, running), found)).when(text.isNotNull(), none)
+    return F.when(text.isNotNull(), let(F.split(marked, MARK), found))
 
 
 #: Elements of an array that are summed in one go.

@@ -28,8 +28,13 @@ def find_numbers(df: DataFrame, id: str = "doc_id", text: str = "text", prefix:
 
     Values beyond 64 bits are no numbers.  A token needs a digit; others don't leave their row.
     """
-    numbered = F.transform(X.tokens(F.col(text), separators), lambda m, i: F.struct(i.alias("idx"), m["begin"].alias("begin"), m["text"].alias("value")))
-    rows = df.where(F.col(text).rlike("[0-9]")).select(id, F.explode(F.filter(numbered, lambda m: m["value"].rlike("[0-9]"))).alias("_m"))
+    ranges = R.members(separators)
+    if ranges is not None:
+        tokens = F.transform(R.tokens_with(F.col(text), ranges, ((0x30, 0x39),)), lambda m: F.struct(m["idx"], m["begin"], m["text"].alias("value")))
+    else:
+        numbered = F.transform(X.tokens(F.col(text), separators), lambda m, i: F.struct(i.alias("idx"), m["begin"].alias("begin"), m["text"].alias("value")))
+        tokens = F.filter(numbered, lambda m: m["value"].rlike("[0-9]"))
+    rows = df.where(F.col(text).rlike("[0-9]")).select(id, F.explode(tokens).alias("_m"))
     value = F.col("_m.value")
     core = F.regexp_replace(F.regexp_replace(value, f"^[{ignored}]+", ""), f"[{ignored}]+$", "")
     rows = rows.select(id, "_m", core.alias("_core")).where(F.col("_core").rlike(number_pattern(prefix, suffix)))
@@ -65,10 +70,15 @@ def duration_tokens(tokens: DataFrame, ignored: str = ",") -> DataFrame:
 
 
 def duration_runs(ignored: str = ",", separators: str = SPACE) -> str:
-    """Pattern of a maximal run of tokens that are quantities, units, halves or fillers."""
+    """Pattern of a maximal run of tokens that are quantities, units, halves or fillers.
+
+    The repetition is possessive: Java's regular expressions go through a greedy one of
+    groups by recursion, and a long run overflows the stack, which ends the executor.  No
+    token can be given back, because a run ends where no further token follows.
+    """
     words = "|".join([*(f"{u}s?" for u in UNITS), *HALF, *FILLERS])
     token = f"[{ignored}]*(?:[0-9]{{1,9}}|{words})[{ignored}]*(?![^{separators}])"
-    return f"(?i)(?<![^{separators}]){token}(?:[{separators}]+{token})*"
+    return f"(?i)(?<![^{separators}]){token}(?:[{separators}]+{token})*+"
 
 
 def find_durations(df: DataFrame, id: str = "doc_id", text: str = "text", ignored: str = ",", separators: str = SPACE) -> DataFrame:
