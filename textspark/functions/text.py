@@ -46,7 +46,7 @@ def find_all(text: Column, pattern: str) -> Column:
     Offsets count code points.  Every match is put between two marks in one search; the
     lengths of the pieces, summed up, are the places of the matches, so further work is done
     for each match and not for each character.  (A mark that the text itself holds counts as
-    a character that is none.)
+    a character that is none.)  Texts without a match cost one search.
     """
     marked = F.regexp_replace(F.translate(text, MARK + CLOSE, STAND_IN * 2), pattern, MARK + "$0" + CLOSE)
 
@@ -55,9 +55,10 @@ def find_all(text: Column, pattern: str) -> Column:
         lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
         matches = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, CLOSE, 1))
         spans = let(lengths, running)
-        return F.when(F.size(pieces) > 1, F.transform(F.arrays_zip(spans.alias("i"), matches.alias("m")), lambda x: F.struct(x["i"].alias("begin"), (x["i"] + F.length(x["m"])).alias("end"), x["m"].alias("text")))).otherwise(F.array().cast("array<struct<begin:int,end:int,text:string>>"))
+        return F.transform(F.arrays_zip(spans.alias("i"), matches.alias("m")), lambda x: F.struct(x["i"].alias("begin"), (x["i"] + F.length(x["m"])).alias("end"), x["m"].alias("text")))
 
-    return F.when(text.isNotNull(), let(F.split(marked, MARK), found))
+    none = F.array().cast("array<struct<begin:int,end:int,text:string>>")
+    return F.when(text.rlike(pattern), let(F.split(marked, MARK), found)).when(text.isNotNull(), none)
 
 
 #: Elements of an array that are summed in one go.
@@ -79,7 +80,7 @@ def running(ns: Column) -> Column:
         return let(before, lambda fs: F.flatten(F.transform(bs, lambda b, i: let(F.get(fs, i), lambda f: F.transform(F.slice(b, F.lit(2), F.size(b) - 1), lambda n: n + f)))))
 
     few = let(F.aggregate(ns, zero, add), lambda sums: F.slice(sums, F.lit(2), F.size(ns)))
-    return F.when(F.size(ns) <= BLOCK, few).otherwise(let(blocks, joined))
+    return F.when(F.size(ns) == 1, ns).when(F.size(ns) <= BLOCK, few).otherwise(let(blocks, joined))
 
 
 def characters(text: Column) -> Column:

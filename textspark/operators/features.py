@@ -58,8 +58,9 @@ def embedded(rows: DataFrame, matrix: DataFrame, id: tuple[str, ...], buckets: s
     shuffled; the matrix is joined on its buckets and sent along if it is small.
     """
     each = rows.select(*id, F.size(buckets).alias("_n"), F.explode(buckets).alias("bucket"))
-    hits = each.join(matrix.select("bucket", F.col("values").alias("_v"), F.col("scale").alias("_s")), "bucket", "left")
-    checked = F.when(F.col("_v").isNull(), F.raise_error(F.concat(F.lit("no row for bucket "), F.col("bucket").cast("string")))).otherwise(dequantize(F.col("_v"), F.col("_s"), bits))
+    # a row of the matrix is dequantised once, not for each of its uses
+    hits = each.join(matrix.select("bucket", dequantize(F.col("values"), F.col("scale"), bits).alias("_v")), "bucket", "left")
+    checked = F.when(F.col("_v").isNull(), F.raise_error(F.concat(F.lit("no row for bucket "), F.col("bucket").cast("string")))).otherwise(F.col("_v"))
     parts = hits.select(*id, "_n", F.posexplode(checked).alias("place", "x"))
     sums = parts.groupBy(*id, "place").agg((F.sum("x") / F.max("_n")).alias("x"))
     return sums.groupBy(*id).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("embedding"))

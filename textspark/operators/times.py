@@ -40,8 +40,7 @@ PATTERNS = (
 
 def parse_year(digits: Column) -> Column:
     """Two digits below 50 are of this century, others of the last one."""
-    y = digits.try_cast("int")
-    return F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y)
+    return let(digits.try_cast("int"), lambda y: F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y))
 
 
 def parse_month(word: Column) -> Column:
@@ -182,7 +181,8 @@ def _parsed(place: int, pattern: str, groups: tuple[str, ...]) -> Callable[[Colu
 
     def labelled(m: Column) -> Column:
         part = lambda f: F.regexp_extract(m["text"], pattern, groups.index(f) + 1)
-        data = parse_data(**{f: parse[f](part(f)) if f in parse else part(f).try_cast("int") for f in groups})
+        # a lambda evaluates its expressions as they are written, so each part is taken once
+        data = parse_data(**{f: let(part(f), parse[f]) if f in parse else part(f).try_cast("int") for f in groups})
         return F.struct(m["begin"].alias("begin"), m["end"].alias("end"), F.lit(place).alias("pattern"), m["text"].alias("text"), data.alias("data"))
 
     return labelled
@@ -290,14 +290,14 @@ def extract_by_locale(df: DataFrame, rules: tuple[DateRule, ...], locales: tuple
         if name == "year":
             return parse_year(part)
         if name == "distance":
-            written = written_number(part)
-            return F.coalesce(digits, F.when(written >= 0, written))
+            return F.coalesce(digits, let(written_number(part), lambda n: F.when(n >= 0, n)))
         return F.coalesce(digits, meaning(name, part, locales)) if name in LEXICON else digits
 
     def parsed(place: int, rule: DateRule) -> Callable[[Column], Column]:
         def labelled(m: Column) -> Column:
             part = lambda f: F.nullif(F.regexp_extract(m["text"], rule.pattern, rule.groups.index(f) + 1), F.lit(""))
-            data = parse_data(**{f: field(f, part(f)) for f in rule.groups if f != "dummy"})
+            once = lambda f: let(part(f), lambda w: field(f, w))
+            data = parse_data(**{f: once(f) for f in rule.groups if f != "dummy"})
             return F.struct(m["begin"].alias("begin"), m["end"].alias("end"), F.lit(place).alias("pattern"), m["text"].alias("text"), data.alias("data"))
 
         return labelled

@@ -52,10 +52,8 @@ def duration_token(m: Column, ignored: str = ",") -> Column:
     """A token (begin, end, text) with its kind (Q quantity, H half, U unit, F filler or null), amount and unit_ms."""
 
     def tagged(core: Column) -> Column:
-        unit = None
-        for name, ms in UNITS.items():
-            unit = F.when(core.isin(name, name + "s"), F.lit(ms)) if unit is None else unit.when(core.isin(name, name + "s"), F.lit(ms))
-        unit = unit.cast("bigint")
+        units = F.create_map(*(F.lit(x) for name, ms in UNITS.items() for word in (name, name + "s") for x in (word, ms)))
+        unit = F.try_element_at(units, core).cast("bigint")
         amount = F.when(core.rlike("^[0-9]{1,9}$"), core.try_cast("bigint"))
         kind = F.when(unit.isNotNull(), "U").when(amount.isNotNull(), "Q").when(core.isin(*HALF), "H").when(core.isin(*FILLERS), "F")
         return F.struct(kind.alias("kind"), amount.alias("amount"), unit.alias("unit_ms"), m["begin"].alias("begin"), m["end"].alias("end"), m["text"].alias("value"))

@@ -8,13 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tasks for each core that a small table is dealt to.
+TASKS = 3
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan with fewer splits than cores are dealt to all cores; others stay where they are read.
+    """Rows of a scan with fewer splits than cores are dealt to a few tasks for each core; others stay where they are read.
 
-    Text expressions cost far more than moving a table that is so small.
+    Text expressions cost far more than moving a table that is so small, and the longest task is short.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(TASKS * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
